@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialstats.functions.states import effect_label
 from trialstats.plans.running import running_totals
@@ -24,10 +25,16 @@ _EXACT = "decimal(38,0)"  # counts of pairs of trials outgrow 64 bits
 DIFFERENCE, LEVEL = "difference", "level"
 
 
-@F.pandas_udf("double")
-def normal_upper_tail(z: pd.Series) -> pd.Series:
-    """P(Z > z), by erfc: the difference 1 - cdf would be 0 far out. One row per group comes here."""
-    return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
+def normal_upper_tail(z: str) -> Column:
+    """P(Z > z), by erfc: the difference 1 - cdf would be 0 far out. One row per group comes here.
+
+    The Python step is defined inside, so it travels with the plan and needs no install on executors.
+    """
+
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
+
+    return F.pandas_udf(tail, T.DoubleType())(z)
 
 
 def paired_comparison(
@@ -145,15 +152,15 @@ def _ranked_values(
     t, c = F.col(treatment).cast("double"), F.col(control).cast("double")
     d = t - c if tie_decimals is None else F.round(t - c, tie_decimals)
     keys = list(groups) or [ALL]
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def entry(part: str, value: Column, up: Column, down: Column) -> Column:
+        return F.struct(F.lit(part).alias(PART), value.alias("_value"), up.alias("_up"), down.alias("_down"))
+
     entries = F.array(
-        F.struct(
-            F.lit(DIFFERENCE).alias(PART),
-            F.abs(d).alias("_value"),
-            (d > 0).cast("bigint").alias("_up"),
-            (d < 0).cast("bigint").alias("_down"),
-        ),
-        F.struct(F.lit(LEVEL), t, F.lit(1).cast("bigint"), F.lit(0).cast("bigint")),
-        F.struct(F.lit(LEVEL), c, F.lit(0).cast("bigint"), F.lit(1).cast("bigint")),
+        entry(DIFFERENCE, F.abs(d), (d > 0).cast("bigint"), (d < 0).cast("bigint")),
+        entry(LEVEL, t, one, zero),
+        entry(LEVEL, c, zero, one),
     )
     counted = (
         pairs.filter(t.isNotNull() & c.isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +50,7 @@ def read_shards(
     Duplicates are kept. Lines that do not fit the schema are dropped here; ``rejected_lines`` shows them.
     """
     parsed = _parsed_shards(spark, patterns, ignored, schema)
-    return parsed.filter(F.col(CORRUPT).isNull()).select(*schema.fieldNames())
+    return parsed.filter(F.col(CORRUPT).isNull() & _reads_all(schema)).select(*schema.fieldNames())
 
 
 def rejected_lines(
@@ -61,7 +61,13 @@ def rejected_lines(
 ) -> DataFrame:
     """Lines that ``read_shards`` dropped, with the file they came from."""
     parsed = _parsed_shards(spark, patterns, ignored, schema)
-    return parsed.filter(F.col(CORRUPT).isNotNull()).select(SOURCE_FILE, F.col(CORRUPT).alias("line"))
+    fits_not = F.col(CORRUPT).isNotNull() & _reads_all(schema)
+    return parsed.filter(fits_not).select(SOURCE_FILE, F.col(CORRUPT).alias("line"))
+
+
+def _reads_all(schema: T.StructType) -> Column:
+    """Always true, but needs every column: Spark refuses to read the column of bad lines alone, as a count would."""
+    return F.xxhash64(*schema.fieldNames()) >= F.lit(-(2**63))
 
 
 def _parsed_shards(
@@ -71,7 +77,6 @@ def _parsed_shards(
     pattern = first_matching(spark, names, ignored)
     if pattern is None:
         raise FileNotFoundError(f"no outcome shards match any of {names}")
-    # Every column is selected, so a line is judged the same whatever is read from it later.
     rows = (
         spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
         .option("header", True)
