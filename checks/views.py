@@ -10,13 +10,25 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.keys import DEFAULT_DOMAIN
 from trialstats.operators.sampling import control_arm
+from trialstats.sources.readers import dealt_out, read_parquet
 
 RUNS = 7
 CONTROL_P = 0.1606
 
 
+# Key columns of the tables that are worth dealing out.
+TABLE_KEYS = {
+    "lineitem": ("l_orderkey", "l_linenumber"),
+    "orders": ("o_orderkey",),
+    "events": ("event_id",),
+    "conversations": ("conv_id", "turn"),
+    "pages": ("page_id",),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = read_parquet(spark, f"{sf_dir}/{name}.parquet")
+    return dealt_out(scan, *TABLE_KEYS[name]) if name in TABLE_KEYS else scan
 
 
 def _task_id(key: str):

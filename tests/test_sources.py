@@ -1,0 +1,164 @@
+"""Readers and writers on small files of every form."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from conftest import rows
+
+from trialstats.sources import readers, writers
+from trialstats.sources.paths import first_matching, matching
+
+HEADER = "task_id,sample_index,initial_state,final_state\n"
+
+
+@pytest.fixture
+def shards(tmp_path):
+    (tmp_path / "new01.csv").write_text(HEADER + "a,1,fail,pass\na,2,fail,fail\n")
+    (tmp_path / "new02.csv").write_text(HEADER + "b,1,fail,INVALID\n")
+    (tmp_path / "old01.csv").write_text(HEADER + "z,1,fail,pass\n")
+    return tmp_path
+
+
+def test_glob_is_one_scan(spark, shards):
+    assert rows(readers.read_shards(spark, f"{shards}/new*.csv")) == [
+        ("a", 1, "fail", "pass"),
+        ("a", 2, "fail", "fail"),
+        ("b", 1, "fail", "INVALID"),
+    ]
+
+
+def test_counts_of_both_halves(spark, shards):
+    assert readers.read_shards(spark, f"{shards}/new*.csv").count() == 3
+    assert readers.rejected_lines(spark, f"{shards}/new*.csv").count() == 0
+
+
+def test_ignored_names_and_shadowing(spark, shards):
+    patterns = [f"{shards}/none*.csv", f"{shards}/new*.csv", f"{shards}/old*.csv"]
+    assert {r[0] for r in rows(readers.read_shards(spark, patterns))} == {"a", "b"}
+    assert {r[0] for r in rows(readers.read_shards(spark, patterns, ignored=["new01.csv"]))} == {"b"}
+    # Where every file of a pattern is ignored, the next pattern is taken.
+    assert {r[0] for r in rows(readers.read_shards(spark, patterns, ignored=["new01.csv", "new02.csv"]))} == {"z"}
+    with pytest.raises(FileNotFoundError):
+        readers.read_shards(spark, f"{shards}/none*.csv")
+
+
+def test_bad_shard_is_reported_and_the_rest_kept(spark, shards):
+    (shards / "new03.csv").write_bytes(b"\x00\xff\xfe junk\nmore junk\n\x80\x81\n")
+    (shards / "new04.csv").write_text(HEADER + "c,one,fail,pass\nc,2,fail,pass\n")
+    good = readers.read_shards(spark, f"{shards}/new*.csv")
+    assert {r[0] for r in rows(good)} == {"a", "b", "c"} and good.count() == 4
+    bad = readers.rejected_lines(spark, f"{shards}/new*.csv")
+    assert {r[0] for r in rows(bad)} == {"new03.csv", "new04.csv"}
+    assert ("new04.csv", "c,one,fail,pass") in rows(bad)
+
+
+def test_null_texts(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(HEADER + "a,1,NA,null\nb,2,fail,None\nc,3,,pass\n")
+    trials = readers.texts_to_null(readers.read_csv(spark, f"{tmp_path}/s.csv"))
+    assert rows(trials) == [("a", 1, None, None), ("b", 2, "fail", None), ("c", 3, None, "pass")]
+
+
+TASKS = [{"instance_id": f"o__r-{i}", "repo": "o/r", "target_function": f"f{i}", "function_doc": "d"} for i in range(3)]
+
+
+def test_json_forms_are_equal(spark, tmp_path):
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(t) for t in TASKS))
+    (tmp_path / "array.json").write_text(json.dumps(TASKS, indent=1))
+    keyed = {t["instance_id"]: {k: v for k, v in t.items() if k != "instance_id"} for t in TASKS}
+    (tmp_path / "keyed.json").write_text(json.dumps(keyed))
+    (tmp_path / "keyed-indented.json").write_text(json.dumps(keyed, indent=2))
+    expected = [tuple(t.values()) for t in TASKS]
+    for name in ("lines", "array", "keyed", "keyed-indented"):
+        assert rows(readers.read_json(spark, f"{tmp_path}/{name}.json")) == expected, name
+
+
+def test_source_precedence(spark, tmp_path):
+    (tmp_path / "pilot.csv").write_text("instance_id,repo,target_function,function_doc\np,o/r,f,d\n")
+    sources = [("json", f"{tmp_path}/t.json"), ("parquet", f"{tmp_path}/t.parquet"), ("csv", f"{tmp_path}/pilot.csv")]
+    assert rows(readers.read_tasks(spark, sources)) == [("p", "o/r", "f", "d")]
+    readers.read_csv(spark, f"{tmp_path}/pilot.csv", readers.TASK_SCHEMA).write.parquet(f"{tmp_path}/t.parquet")
+    assert readers.read_tasks(spark, sources[1:]).count() == 1
+    (tmp_path / "t.json").write_text("\n".join(json.dumps(t) for t in TASKS))
+    assert readers.read_tasks(spark, sources).count() == 3
+    with pytest.raises(FileNotFoundError):
+        readers.read_tasks(spark, [("json", f"{tmp_path}/absent.json")])
+
+
+def test_parquet_tree(spark, make_trials, tmp_path):
+    one = make_trials([("a", 1, "fail", "pass")])
+    for folder in ("x/y", "z", "venv/lib", "my-ENV"):
+        one.write.parquet(f"{tmp_path}/{folder}")
+    assert readers.read_parquet_tree(spark, str(tmp_path)).count() == 2
+
+
+def test_id_column_and_default_ids(spark):
+    df = spark.range(25).selectExpr("id AS n").repartition(4)
+    assert readers.id_column(df) == "n"
+    assert readers.id_column(df.selectExpr("n", "n AS id", "n AS task_id")) == "task_id"
+    numbered = readers.with_task_id(df)
+    assert numbered.columns == ["instance_id", "n"]
+    assert {r.instance_id for r in numbered.collect()} == {f"task_{i}" for i in range(25)}
+    assert readers.with_task_id(numbered) is numbered
+
+
+def test_paths(spark, shards):
+    assert [p.rsplit("/", 1)[1] for p in matching(spark, f"{shards}/new*")] == ["new01.csv", "new02.csv"]
+    assert first_matching(spark, [f"{shards}/q*", f"{shards}/old*"]) == f"{shards}/old*"
+
+
+def test_csv_and_report(spark, make_trials, tmp_path):
+    trials = make_trials([("a", 1, "fail", "pass"), ("b", 1, "fail", None)])
+    writers.write_csv(trials, f"{tmp_path}/out")
+    assert rows(readers.read_csv(spark, f"{tmp_path}/out")) == rows(trials)
+    writers.write_report(trials, f"{tmp_path}/report")
+    assert len(matching(spark, f"{tmp_path}/report/part-*")) == 1
+
+
+def test_resumed_batches(spark, make_trials, tmp_path):
+    path = f"{tmp_path}/results"
+    plan = make_trials([(t, k, "fail", "pass") for t in "ab" for k in (1, 2)])
+    assert writers.remaining_trials(plan, writers.written_results(spark, path)).count() == 4
+    writers.append_results(plan.filter("task_id = 'a'"), path)
+    assert {r[0] for r in rows(writers.remaining_trials(plan, writers.written_results(spark, path)))} == {"b"}
+    writers.append_results(plan, path)
+    writers.append_results(plan, path)
+    assert rows(writers.written_results(spark, path)) == rows(plan)
+
+
+def test_partition_overwrite_keeps_the_others(spark, make_trials, tmp_path):
+    path = f"{tmp_path}/results"
+    first = make_trials([("a", 1, "fail", "fail"), ("a", 2, "fail", "fail")]).selectExpr("*", "0 AS shard")
+    writers.write_partitioned(first, path)
+    again = make_trials([("a", 2, "fail", "pass")]).selectExpr("*", "0 AS shard")
+    writers.write_partitioned(again, path)
+    stored = spark.read.parquet(path)
+    assert rows(stored.select("sample_index", "final_state")) == [(1, "fail"), (2, "pass")]
+    plan = stored.filter("sample_index = 2")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(sample_index" in plan
+
+
+def test_log_lines(spark, tmp_path):
+    runs = spark.sql(
+        "SELECT timestamp'2024-01-02 03:04:05.678901' AS ts, 'm' AS model, 'a__b-1' AS task_id, 2 AS sample_index, "
+        "'INVALID' AS state, 0.25D AS cost, 'x | y: 503' AS error_msg"
+    )
+    writers.append_log(runs, f"{tmp_path}/log")
+    writers.append_log(runs, f"{tmp_path}/log")
+    lines = spark.read.text(f"{tmp_path}/log")
+    assert [r.value for r in lines.collect()] == [
+        "Timestamp: 1704164645.678901 | Model: m | Task: a__b-1 | Sample: 2 | State: INVALID | Cost: 0.25 | Errors: x | y: 503"
+    ] * 2
+    from trialstats.functions.text import parsed_log
+
+    assert rows(lines.select(*parsed_log("value")).distinct()) == rows(runs)
+    odd = spark.createDataFrame([("free text",)], "value string").select(*parsed_log("value"))
+    assert rows(odd) == [(None,) * 7]
+
+
+def test_rendered_nulls(spark):
+    from trialstats.functions.text import render
+
+    df = spark.createDataFrame([("r", None)], "repo string, doc string")
+    assert df.select(render("for {repo}: {doc}!").alias("t")).first().t == "for r: None!"

@@ -59,10 +59,7 @@ def compat_repo(task_id: str) -> Column:
 def true_repo(task_id: str) -> Column:
     """``owner/repo`` of ``owner__repo-123``; null where the id has another form."""
     c = F.col(task_id)
-    return F.when(
-        c.rlike(_TRUE_REPO),
-        F.concat(F.regexp_extract(c, _TRUE_REPO, 1), F.lit("/"), F.regexp_extract(c, _TRUE_REPO, 2)),
-    )
+    return F.nullif(F.regexp_replace(c, _TRUE_REPO, "$1/$2"), c)
 
 
 def issue_number(task_id: str) -> Column:

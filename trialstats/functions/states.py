@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,14 +80,31 @@ def decision(p_value: str, mean_rate: str, alpha: float = 0.05, floor: float = 1
 
 
 def fixed(value: str, decimals: int = 2, suffix: str = "") -> Column:
-    """Text with fixed decimals. Exact ties go to the even digit, as printf does; Java rounds them up.
+    """Text with one to six fixed decimals, rounded as printf does: from the exact binary value, half to even.
 
-    A double is an exact tie only when it is an odd multiple of 1 / 2^(decimals + 1).
+    Java rounds the shortest decimal text instead, half up: 71.585 is a little below that in binary,
+    and printf makes it 71.58, Java 71.59. Here the fraction is taken as an integer of 92 binary
+    places, which hold every double that is near a tie.
     """
     c = F.col(value).cast("double")
-    tie = F.abs(c * float(2 ** (decimals + 1))) % 2 == 1
-    shown = F.when(tie, F.bround(c, decimals)).otherwise(c)
-    return F.format_string(f"%.{decimals}f{suffix.replace('%', '%%')}", shown)
+    whole = F.floor(F.abs(c))
+    high = (F.abs(c) - whole) * F.lit(float(2**52))
+    low = (high - F.floor(high)) * F.lit(float(2**40))
+    places = (
+        F.floor(high).cast("decimal(20,0)") * F.lit(2**40).cast("decimal(13,0)") + F.floor(low).cast("decimal(20,0)")
+    ).cast("decimal(28,0)")
+    one, half = (F.lit(Decimal(2**n)).cast("decimal(28,0)") for n in (92, 91))
+    scaled = places * F.lit(10**decimals).cast("decimal(7,0)")
+    digits, left = F.call_function("div", scaled, one), scaled % one
+    up = (left > half) | ((left == half) & (digits % 2 == 1))
+    digits = digits + F.when(up, 1).otherwise(0)
+    return F.concat(
+        F.when(c < 0, "-").otherwise(""),
+        (whole + F.call_function("div", digits, F.lit(10**decimals))).cast("string"),
+        F.lit("."),
+        F.lpad((digits % 10**decimals).cast("string"), decimals, "0"),
+        F.lit(suffix),
+    )
 
 
 def percent(value: str, decimals: int = 2) -> Column:

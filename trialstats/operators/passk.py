@@ -8,15 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialstats.functions.states import rate, succeeded
-
-RUN = "sample_index"
+from trialstats.operators.rates import RUN, group_known
 
 
 def solved_tasks(trials: DataFrame, task: str = "task_id", keys: Sequence[str] = ()) -> DataFrame:
     """One row per task: did any of its runs pass."""
-    return (
-        trials.filter(F.col(task).isNotNull()).groupBy(*keys, task).agg(F.max(succeeded()).alias("solved"))
-    )
+    return group_known(trials, [*keys, task], [F.max(succeeded()).alias("solved")])
 
 
 def pass_at_all(trials: DataFrame, task: str = "task_id", keys: Sequence[str] = ()) -> DataFrame:
@@ -35,11 +32,7 @@ def pass_at_k(trials: DataFrame, ks: Sequence[int], task: str = "task_id", keys:
     Runs are counted by ``sample_index``, so a task that lacks run 1 has not passed by run 1. Use
     ``first_k_repeats`` beforehand to count the runs a task really has.
     """
-    first = (
-        trials.filter(F.col(task).isNotNull())
-        .groupBy(*keys, task)
-        .agg(F.min(F.when(succeeded(), F.col(RUN))).alias("first_pass"))
-    )
+    first = group_known(trials, [*keys, task], [F.min(F.when(succeeded(), F.col(RUN))).alias("first_pass")])
     counted = first.groupBy(*keys).agg(
         F.count("*").alias("n_tasks"),
         *[F.count_if(F.col("first_pass") <= k).alias(f"_by_{k}") for k in ks],
@@ -69,9 +62,6 @@ def first_k_repeats(trials: DataFrame, k: int, task: str = "task_id") -> DataFra
 def first_outcomes(trials: DataFrame, task: str = "task_id") -> DataFrame:
     """States of the earliest run of each task, and its number of trials; the same on every run."""
     earliest = F.min(F.struct(RUN, "initial_state", "final_state")).alias("_first")
-    return (
-        trials.filter(F.col(task).isNotNull())
-        .groupBy(task)
-        .agg(earliest, F.count("*").alias("n_trials"))
-        .select(task, "_first.initial_state", "_first.final_state", "n_trials")
+    return group_known(trials, [task], [earliest, F.count("*").alias("n_trials")]).select(
+        task, "_first.initial_state", "_first.final_state", "n_trials"
     )

@@ -7,6 +7,7 @@ and 0.0 for a set with no failing trial.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,25 +18,29 @@ from trialstats.schema import FAIL, INVALID, PASS
 RUN = "sample_index"
 
 
-def _known(keys: Sequence[str]) -> Column:
-    keep = F.lit(True)
-    for key in keys:
-        keep = keep & F.col(key).isNotNull()
-    return keep
-
-
-def counts(final: str = "final_state", prefix: str = "") -> list[Column]:
+def counts(final: str = "final_state") -> list[Column]:
     """Aggregates ``n_failing`` and ``n_rescued`` of one arm."""
     return [
-        F.count_if(initially_failing()).alias(f"{prefix}n_failing"),
-        F.count_if(initially_failing() & succeeded(final)).alias(f"{prefix}n_rescued"),
+        F.count_if(initially_failing()).alias("n_failing"),
+        F.count_if(initially_failing() & succeeded(final)).alias("n_rescued"),
     ]
 
 
+def group_known(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
+    """Aggregate per key, without the groups that have a null key.
+
+    They are dropped by a count after the aggregation: a filter on a computed key would be pushed to
+    the scan and compute the key a second time for every row.
+    """
+    if not keys:
+        return df.agg(*aggregates)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return df.groupBy(*keys).agg(*aggregates, F.count_if(known).alias("_known")).filter("_known > 0").drop("_known")
+
+
 def f2p(trials: DataFrame, keys: Sequence[str] = (), final: str = "final_state", value: str = "f2p") -> DataFrame:
     """Rate per key, or one pooled (micro) rate. Rows with a null key are left out."""
-    grouped = trials.filter(_known(keys)).groupBy(*keys) if keys else trials.groupBy()
-    return grouped.agg(*counts(final)).select(
+    return group_known(trials, keys, counts(final)).select(
         *keys, "n_failing", "n_rescued", rate(F.col("n_rescued"), F.col("n_failing")).alias(value)
     )
 
@@ -67,6 +72,22 @@ def arms_long(trials: DataFrame, arms: Mapping[str, str], arm_col: str = "arm")
     return trials.select(*others, F.inline(entries))
 
 
+def paired_counts(control: str = "base_state", treatment: str = "final_state") -> list[Column]:
+    """Aggregates ``n_failing``, ``n_rescued`` and ``n_control``, for two arms held in the same rows."""
+    return [*counts(treatment), F.count_if(initially_failing() & succeeded(control)).alias("n_control")]
+
+
+def rates_of_counts(
+    counted: DataFrame, keys: Sequence[str], names: tuple[str, str] = ("f2p_treatment", "f2p_control")
+) -> DataFrame:
+    """Rates of both arms from ``paired_counts`` columns."""
+    return counted.select(
+        *keys,
+        rate(F.col("n_rescued"), F.col("n_failing")).alias(names[0]),
+        rate(F.col("n_control"), F.col("n_failing")).alias(names[1]),
+    )
+
+
 def paired_rates(
     trials: DataFrame,
     keys: Sequence[str],
@@ -78,34 +99,20 @@ def paired_rates(
 
     Equal to ``pair_arms`` over the two separate rate tables.
     """
-    return (
-        trials.filter(_known(keys))
-        .groupBy(*keys)
-        .agg(
-            *counts(treatment),
-            F.count_if(initially_failing() & succeeded(control)).alias("n_control"),
-        )
-        .select(
-            *keys,
-            rate(F.col("n_rescued"), F.col("n_failing")).alias(names[0]),
-            rate(F.col("n_control"), F.col("n_failing")).alias(names[1]),
-        )
-    )
+    return rates_of_counts(group_known(trials, keys, paired_counts(control, treatment)), keys, names)
 
 
 def task_summary(trials: DataFrame, task: str = "task_id", control: str | None = "base_state") -> DataFrame:
     """One row per task with everything the breakdowns add up: counts, and whether any run passed."""
-    extra = [F.count_if(initially_failing() & succeeded(control)).alias("n_control")] if control else []
-    return (
-        trials.filter(_known([task]))
-        .groupBy(task)
-        .agg(
+    return group_known(
+        trials,
+        [task],
+        [
             F.count("*").alias("n_trials"),
-            *counts(),
-            *extra,
+            *(paired_counts(control) if control else counts()),
             F.max(succeeded()).alias("solved"),
             F.max(is_invalid()).alias("any_invalid"),
-        )
+        ],
     )
 
 
@@ -116,14 +123,10 @@ def breakdown(tasks: DataFrame, key: str, with_total: bool = False) -> DataFrame
     and has ``is_total`` set, so a group that is itself null stays apart from it.
     """
     arms = ["n_failing", "n_rescued", *(["n_control"] if "n_control" in tasks.columns else [])]
-    groups = (
-        tasks.filter(_known([key]))
-        .groupBy(key)
-        .agg(
-            F.count("*").alias("tasks"),
-            *[F.sum(c).alias(c) for c in arms],
-            F.count_if("solved").alias("n_solved"),
-        )
+    groups = group_known(
+        tasks,
+        [key],
+        [F.count("*").alias("tasks"), *[F.sum(c).alias(c) for c in arms], F.count_if("solved").alias("n_solved")],
     )
     if with_total:
         groups = groups.rollup(key).agg(

@@ -11,9 +11,10 @@ from trialstats.functions.keys import compat_repo, owner, true_repo
 from trialstats.functions.states import decision, fixed, percent, yes_no
 from trialstats.operators.joins import attach_domain
 from trialstats.operators.passk import pass_at_all
-from trialstats.operators.rates import RUN, breakdown, f2p_by_run, macro_average, paired_rates, task_summary
+from trialstats.operators.rates import RUN, breakdown, paired_counts, paired_rates, rates_of_counts, task_summary
 from trialstats.plans.paired import paired_comparison
 from trialstats.plans.running import join_null_safe
+from trialstats.session import cut_lineage
 from trialstats.sources.writers import metric_report
 
 _KEYS = {"owner": owner, "repo": true_repo, "compat": compat_repo}
@@ -64,11 +65,22 @@ def domain_comparison(
 def summary_row(
     trials: DataFrame, key: str = "repo", alpha: float = 0.05, floor: float = 16.06, **options: object
 ) -> DataFrame:
-    """One row: macro rates of both arms, Pass@K, the paired comparison and the decision."""
+    """One row: macro rates of both arms, Pass@K, the paired comparison and the decision.
+
+    The trials are read twice: once into counts per key and run, which are stored and give both the
+    pairs and the rates of whole runs, and once per task for Pass@K.
+    """
+    keyed = with_key(trials, key)
+    counted = cut_lineage(keyed.groupBy("pair_key", RUN).agg(*paired_counts()))
+    pairs = rates_of_counts(counted.filter("pair_key IS NOT NULL"), ["pair_key", RUN])
+    sums = [F.sum(c).alias(c) for c in ("n_failing", "n_rescued", "n_control")]
+    runs = rates_of_counts(counted.groupBy(RUN).agg(*sums), [RUN])
+    means = runs.agg(F.struct(F.avg("f2p_treatment").alias("t"), F.avg("f2p_control").alias("c"))).scalar()
     return (
-        compare_arms(trials, key, **options)
-        .withColumn("treatment_f2p", macro_average(f2p_by_run(trials)).scalar())
-        .withColumn("control_f2p", macro_average(f2p_by_run(trials, "base_state")).scalar())
+        paired_comparison(pairs, **options)
+        .withColumn("_means", means)
+        .withColumns({"treatment_f2p": F.col("_means.t"), "control_f2p": F.col("_means.c")})
+        .drop("_means")
         .withColumn("pass_at_all", pass_at_all(trials).select("pass_at_all").scalar())
         .withColumn("rejected", decision("p_value", "treatment_f2p", alpha, floor))
     )

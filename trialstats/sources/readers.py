@@ -117,6 +117,18 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dealt_out(df: DataFrame, *keys: str, at_least: int = 2 << 20, per_core: int = 16 << 20) -> DataFrame:
+    """Deal the rows of a small scan over all cores, by ``keys``; larger scans are left as they are.
+
+    A Parquet file with one row group is read by one task, whatever its size. Below ``per_core`` bytes
+    per core, moving the rows costs less than leaving the other cores idle; a scan beyond that has
+    enough row groups of its own.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if at_least <= size < per_core * cores else df
+
+
 def read_parquet_tree(spark: SparkSession, root: str, excluded: Sequence[str] = ("env",)) -> DataFrame:
     """Parquet files anywhere under ``root``, less those with an excluded text in their folder path.
 
