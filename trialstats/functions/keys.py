@@ -38,11 +38,15 @@ _TRUE_REPO = r"^(.+?)__(.+)-([0-9]+)$"
 def owner(task_id: str) -> Column:
     """The text before ``__``, else before ``_``, else ``Other``."""
     c = F.col(task_id)
-    return (
-        F.when(c.contains("__"), F.split_part(c, F.lit("__"), F.lit(1)))
-        .when(c.contains("_"), F.split_part(c, F.lit("_"), F.lit(1)))
-        .otherwise(F.lit(OTHER_OWNER))
+    before = F.when(c.contains("__"), F.split_part(c, F.lit("__"), F.lit(1))).when(
+        c.contains("_"), F.split_part(c, F.lit("_"), F.lit(1))
     )
+    return _never_null(before, OTHER_OWNER)
+
+
+def _never_null(key: Column, default: str) -> Column:
+    """Coalesced, so that Spark sees the key is never null and pushes no test of it into the scan below a join."""
+    return F.coalesce(key, F.lit(default))
 
 
 def compat_repo(task_id: str) -> Column:
@@ -53,7 +57,7 @@ def compat_repo(task_id: str) -> Column:
     """
     parts = F.split(F.col(task_id), "_", -1)
     usable = (F.size(parts) > 1) & ~F.element_at(parts, -1).rlike("^[0-9]+$")
-    return F.when(usable, F.concat(parts[0], F.lit("/"), parts[1])).otherwise(F.lit(FALLBACK_REPO))
+    return _never_null(F.when(usable, F.concat(parts[0], F.lit("/"), parts[1])), FALLBACK_REPO)
 
 
 def true_repo(task_id: str) -> Column:

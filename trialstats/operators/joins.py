@@ -2,8 +2,10 @@
 
 No join carries a broadcast hint. Spark broadcasts a side only where its size estimate, or the size
 seen at run time, is below ``spark.sql.autoBroadcastJoinThreshold``; beyond that it sort-merges and
-splits hot keys (``spark.sql.adaptive.skewJoin``). Rate operators count before they look up, so the
-fact side of their joins holds one row per key.
+splits hot keys (``spark.sql.adaptive.skewJoin``). That splitting needs a plain shuffle on both sides,
+which a freshly aggregated side does not have: so a lookup is reduced to one row per key and stored
+before it is joined. Rate operators count before they look up, so the fact side of their joins holds
+one row per key.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions.keys import DEFAULT_DOMAIN, compat_repo
+from trialstats.session import cut_lineage
 
 
 def latest(lookup: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
@@ -37,12 +40,13 @@ def attach_repo(
     lookup_id: str = "instance_id",
     repo_col: str = "repo",
     order: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add the repository of each trial: from the lookup, else computed from the task id.
 
-    Where the lookup repeats a key, its last row by ``order`` wins.
+    Where the lookup repeats a key, its last row by ``order`` wins. ``unique`` says that it repeats none.
     """
-    found = latest(lookup, lookup_id, repo_col, order).select(
+    found = (lookup if unique else cut_lineage(latest(lookup, lookup_id, repo_col, order))).select(
         F.col(lookup_id).alias(id_col), F.col(repo_col).alias("_found")
     )
     return (
@@ -59,9 +63,15 @@ def attach_domain(
     domain_col: str = "domain",
     default: str = DEFAULT_DOMAIN,
     order: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Add the domain of each owner from a lookup table, with a default for unknown owners."""
-    found = latest(lookup, owner_col, domain_col, order).select(owner_col, F.col(domain_col).alias("_found"))
+    """Add the domain of each owner from a lookup table, with a default for unknown owners.
+
+    Where the lookup repeats a key, its last row by ``order`` wins. ``unique`` says that it repeats none.
+    """
+    found = (lookup if unique else cut_lineage(latest(lookup, owner_col, domain_col, order))).select(
+        owner_col, F.col(domain_col).alias("_found")
+    )
     return (
         df.join(found, owner_col, "left")
         .withColumn(domain_col, F.coalesce("_found", F.lit(default)))

@@ -40,8 +40,13 @@ def one_per_key(df: DataFrame, keys: Sequence[str] = TRIAL_KEY) -> DataFrame:
 
 
 def sorted_trials(df: DataFrame, keys: Sequence[str] = TRIAL_KEY) -> DataFrame:
-    """Rows in key order where all key columns are present, else as they are."""
-    return df.orderBy(*keys) if set(keys) <= set(df.columns) else df
+    """Rows in key order where all key columns are present, else as they are.
+
+    The other columns break ties, so that rows of a repeated key may lie in several sort partitions.
+    """
+    if not set(keys) <= set(df.columns):
+        return df
+    return df.orderBy(*keys, *[c for c in df.columns if c not in keys])
 
 
 def ranked_by(df: DataFrame, metric: str, tie: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.keys import compat_repo, owner, true_repo
 from trialstats.functions.states import decision, fixed, percent, yes_no
-from trialstats.operators.joins import attach_domain
+from trialstats.operators.joins import attach_domain, latest
 from trialstats.operators.passk import pass_at_all
 from trialstats.operators.rates import RUN, breakdown, paired_counts, paired_rates, rates_of_counts, task_summary
 from trialstats.plans.paired import paired_comparison
@@ -44,10 +44,11 @@ def domain_table(
     key: str = "owner",
     default: str = "General Software Utilities",
     with_total: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """Per domain: number of tasks, rates of both arms and Pass@K. ``domains`` is (owner, domain)."""
     tasks = task_summary(trials).withColumn("owner", _KEYS[key]("task_id"))
-    return breakdown(attach_domain(tasks, domains, default=default), "domain", with_total)
+    return breakdown(attach_domain(tasks, domains, default=default, unique=unique), "domain", with_total)
 
 
 def domain_comparison(
@@ -57,9 +58,11 @@ def domain_comparison(
 
     Owners are looked up once they are reduced to rates, one row per owner and run.
     """
+    lookup = cut_lineage(latest(domains, "owner", "domain"))
     pairs = paired_rates(with_key(trials, "owner", "owner"), ["owner", RUN])
-    tests = paired_comparison(attach_domain(pairs, domains, default=default), group_cols=["domain"], **options)
-    return join_null_safe(domain_table(trials, domains, default=default), tests, ["domain"])
+    named = attach_domain(pairs, lookup, default=default, unique=True)
+    tests = paired_comparison(named, group_cols=["domain"], **options)
+    return join_null_safe(domain_table(trials, lookup, default=default, unique=True), tests, ["domain"])
 
 
 def summary_row(

@@ -67,6 +67,10 @@ def paired_comparison(
     ``asymptotic``.
     A group whose differences are all zero has W+ 0 and p 1.
     """
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"method must be auto, exact or asymptotic, not {method}")
+    if exact_up_to > 60:
+        raise ValueError("sign choices of more than 60 pairs are too many to count in 64 bits")
     groups = list(group_cols)
     keys = groups or [ALL]
     ranked = _ranked_values(pairs, treatment, control, groups, tie_decimals)
@@ -238,11 +242,7 @@ def _p_value(exact_up_to: int, method: str) -> Column:
     if method == "asymptotic":
         return p.otherwise(normal_upper_tail("z"))
     p = p.when(F.col("n_nonzero") <= exact_up_to, exact_upper_tail(F.col("_ranks2"), F.col("_w2").cast("int")))
-    if method == "exact":
-        return p
-    if method == "auto":
-        return p.otherwise(normal_upper_tail("z"))
-    raise ValueError(f"method must be auto, exact or asymptotic, not {method}")
+    return p if method == "exact" else p.otherwise(normal_upper_tail("z"))
 
 
 def exact_upper_tail(ranks2: Column, w2: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.plans.running import attach_to_groups, join_null_safe, running_totals
+from trialstats.plans.running import attach_to_groups, join_null_safe, stored_in_ranges, totals_in_ranges
+from trialstats.session import cut_lineage
 
 ALL = "_all"
 
@@ -21,8 +22,8 @@ def value_counts(df: DataFrame, value: str, group_cols: Sequence[str] = ()) -> D
     )
 
 
-def _placed(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    return running_totals(value_counts(df.withColumn(ALL, F.lit(0)), value, keys), keys, value, ["n"])
+def _stored(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    return stored_in_ranges(value_counts(df.withColumn(ALL, F.lit(0)), value, keys), keys, value)
 
 
 def _quantile_columns(value: str, probs: Sequence[float], names: Sequence[str]) -> tuple[list[Column], list[Column]]:
@@ -48,10 +49,11 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group; no task holds a whole group."""
     groups = list(group_cols)
-    placed = _placed(df, value, groups or [ALL])
+    keys = groups or [ALL]
+    placed = totals_in_ranges(_stored(df, value, keys), keys, value, ["n"])
     picks, results = _quantile_columns(value, probs, names)
     return (
-        placed.groupBy(*(groups or [ALL]))
+        placed.groupBy(*keys)
         .agg(F.sum("n").alias("n_values"), *picks)
         .select(*groups, "n_values", *results)
     )
@@ -86,9 +88,9 @@ def dispersion(df: DataFrame, value: str, group_cols: Sequence[str] = (), few_va
         )
 
     keys = groups or [ALL]
-    placed = _placed(df, value, keys)
+    stored = _stored(df, value, keys)
     picks, results = _quantile_columns(value, (0.25, 0.5, 0.75), ("p25", "median", "p75"))
-    moments = placed.groupBy(*keys).agg(
+    moments = totals_in_ranges(stored, keys, value, ["n"]).groupBy(*keys).agg(
         F.sum("n").alias("n_values"),
         (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),
         F.min(value).alias("min"),
@@ -96,8 +98,9 @@ def dispersion(df: DataFrame, value: str, group_cols: Sequence[str] = (), few_va
         *picks,
     )
     # Deviations from the mean in a second step: the difference of two large sums would lose digits.
+    means = stored.groupBy(*keys).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"))
     spread = (
-        attach_to_groups(placed, moments.select(*keys, "mean"), keys, value)
+        attach_to_groups(stored, means, keys, value)
         .groupBy(*keys)
         .agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col(value) - F.col("mean"), 2)) / F.sum("n")).alias("sd"))
     )
@@ -106,13 +109,14 @@ def dispersion(df: DataFrame, value: str, group_cols: Sequence[str] = (), few_va
 
 def box_plot(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 quartile ranges) and number of outliers per group."""
-    placed = _placed(df, value, [group])
+    stored = _stored(df, value, [group])
     picks, results = _quantile_columns(value, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
+    placed = totals_in_ranges(stored, [group], value, ["n"])
     quartiles = placed.groupBy(group).agg(F.sum("n").alias("n_values"), *picks).select(group, *results)
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - fence, F.col("q3") + fence)
     return (
-        attach_to_groups(placed, quartiles, [group], value)
+        attach_to_groups(stored, quartiles, [group], value)
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -125,9 +129,10 @@ def box_plot(df: DataFrame, value: str, group: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
     """Counts in equal bins over [min, max]; the last bin is closed, empty bins count zero.
 
-    A single value gets a range of one around it. The range is a scalar subquery, not a join.
+    A single value gets a range of one around it. The value counts are stored, so that ``df`` is read
+    once, and the range is a scalar subquery over them.
     """
-    counted = value_counts(df, value)
+    counted = cut_lineage(value_counts(df, value))
     ends = counted.agg(F.min(value).alias("low"), F.max(value).alias("high"))
     flat = F.col("low") == F.col("high")
     ends = ends.select(

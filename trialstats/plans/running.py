@@ -19,33 +19,33 @@ from trialstats.session import cut_lineage
 CHUNK = "_chunk"
 
 
-def running_totals(
-    histogram: DataFrame,
-    group_cols: Sequence[str],
-    value_col: str,
-    sum_cols: Sequence[str],
-    chunks: int | None = None,
+def stored_in_ranges(
+    histogram: DataFrame, group_cols: Sequence[str], value_col: str, chunks: int | None = None
 ) -> DataFrame:
-    """Add ``<c>_before`` for each of ``sum_cols``, its total over smaller values of the same group,
-    and ``<c>_total``, its total over the group.
+    """Range-partition a histogram by group and value, store it, and number the ranges in ``_chunk``.
 
     ``histogram`` must hold one row per (group, value), as an aggregation leaves it: that is what
-    keeps the range partitions even however often a value was repeated. The ranged rows are stored
-    once, because both the chunk totals and the running sums must see the same chunk borders.
+    keeps the ranges even however often a value was repeated. The rows are stored once, because all
+    that is computed from them must see the same range borders.
     """
-    spark = histogram.sparkSession
-    groups = list(group_cols)
-    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(histogram.repartitionByRange(chunks, *groups, value_col)).withColumn(
-        CHUNK, F.spark_partition_id()
-    )
+    chunks = chunks or int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = histogram.repartitionByRange(chunks, *group_cols, value_col)
+    return cut_lineage(ranged).withColumn(CHUNK, F.spark_partition_id())
 
+
+def totals_in_ranges(
+    ranged: DataFrame, group_cols: Sequence[str], value_col: str, sum_cols: Sequence[str]
+) -> DataFrame:
+    """Add ``<c>_before`` for each of ``sum_cols``, its total over smaller values of the same group,
+    and ``<c>_total``, its total over the group; ``ranged`` is a ``stored_in_ranges``.
+    """
+    groups = list(group_cols)
     inside = Window.partitionBy(*groups, CHUNK).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
     within = ranged.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_inside") for c in sum_cols]
     )
 
-    # One row per group and chunk, so at most `chunks` rows in any of these windows.
+    # One row per group and chunk, so at most as many rows as chunks in any of these windows.
     earlier = Window.partitionBy(*groups).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     carried = (
@@ -61,12 +61,24 @@ def running_totals(
 
     # Joined by group and chunk, not by group: a group that spans many chunks stays split.
     return join_null_safe(within, carried, [*groups, CHUNK]).select(
-        *histogram.columns,
+        *[c for c in ranged.columns if c != CHUNK],
         *[(F.col(f"{c}_inside") + F.col(f"{c}_carried")).alias(f"{c}_before") for c in sum_cols],
         *[F.col(f"{c}_total") for c in sum_cols],
     )
 
 
+def running_totals(
+    histogram: DataFrame,
+    group_cols: Sequence[str],
+    value_col: str,
+    sum_cols: Sequence[str],
+    chunks: int | None = None,
+) -> DataFrame:
+    """Totals over smaller values and over the group, for a histogram of one row per (group, value)."""
+    ranged = stored_in_ranges(histogram, group_cols, value_col, chunks)
+    return totals_in_ranges(ranged, group_cols, value_col, sum_cols)
+
+
 def attach_to_groups(
     rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread_by: str, salts: int = 32
 ) -> DataFrame:

@@ -23,9 +23,14 @@ def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("shard", "sample_index")) -> None:
-    """Parquet by shard and run; only the partitions present in ``df`` are replaced."""
+    """Parquet by shard and run; only the partitions present in ``df`` are replaced.
+
+    Rows are gathered by partition first, else every task writes a file to every partition; being a
+    rebalance, a partition that holds most of the rows is split over tasks again.
+    """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .parquet(path)
