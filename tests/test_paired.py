@@ -82,14 +82,14 @@ def test_all_zero_differences(spark):
 
 @pytest.mark.parametrize("n, w, p", [(6, 20, 0.03125), (3, 5, 0.25), (2, 3, 0.25), (11, 54, 0.03369140625)])
 def test_exact_tails(spark, n, w, p):
-    ranks = F.array(*[F.lit(2 * i) for i in range(1, n + 1)])
-    assert spark.range(1).select(exact_upper_tail(ranks, F.lit(2 * w)).alias("p")).first().p == p
+    ranks = f"sequence(2, {2 * n}, 2)"
+    assert spark.range(1).select(exact_upper_tail(ranks, str(2 * w)).alias("p")).first().p == p
 
 
 def test_exact_tail_of_fifty(spark):
-    ranks = F.sequence(F.lit(2), F.lit(100), F.lit(2))
+    ranks = "sequence(2, 100, 2)"
     whole = spark.range(1).select(
-        exact_upper_tail(ranks, F.lit(0)).alias("all"), exact_upper_tail(ranks, F.lit(1276)).alias("upper")
+        exact_upper_tail(ranks, "0").alias("all"), exact_upper_tail(ranks, "1276").alias("upper")
     ).first()
     assert whole.all == 1.0
     assert whole.upper == 0.5  # the ranks add up to an odd number, so half of the choices reach more than half of it

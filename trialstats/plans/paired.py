@@ -8,7 +8,6 @@ is that of sorting distinct values; no pair of pairs is ever formed.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,27 +23,20 @@ DIFFERENCE, LEVEL = "difference", "level"
 
 
 def normal_upper_tail(z: str) -> Column:
-    """P(Z > z) to about 13 digits, far tails included: half of erfc(z / sqrt 2), by built-in functions.
+    """P(Z > z) to about 12 digits, far tails included: half of erfc(z / sqrt 2), by built-in functions.
 
     Near the middle erfc is 1 minus a series of positive terms. Further out that difference would
     lose all its digits, so the continued fraction of erfc is used there.
     """
-    x = F.abs(F.col(z)) / F.lit(math.sqrt(2.0))
-    bell = F.exp(-x * x) / F.lit(math.sqrt(math.pi))
-    steps = 80
-
-    def widen(acc: Column, n: Column) -> Column:
-        term = acc["term"] * 2.0 * x * x / (2.0 * n + 1.0)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), F.struct(x.alias("term"), x.alias("total")), widen, lambda acc: acc["total"]
-    )
-    fraction = F.aggregate(
-        F.sequence(F.lit(steps), F.lit(1)), F.lit(0.0), lambda acc, n: (n / 2.0) / (x + acc)
-    )
-    tail = F.when(x < 2.0, 0.5 - bell * series).otherwise(0.5 * bell / (x + fraction))
-    return F.when(F.col(z) < 0, 1.0 - tail).otherwise(tail)
+    x = f"(abs({z}) / sqrt(2D))"
+    bell = f"(exp(-{x} * {x}) / sqrt(pi()))"
+    series = f"""aggregate(sequence(1, 80), struct({x} AS term, {x} AS total),
+        (acc, n) -> struct(acc.term * 2D * {x} * {x} / (2D * n + 1D) AS term,
+                           acc.total + acc.term * 2D * {x} * {x} / (2D * n + 1D) AS total),
+        acc -> acc.total)"""
+    fraction = f"aggregate(sequence(80, 1), 0D, (acc, n) -> (n / 2D) / ({x} + acc))"
+    tail = f"(CASE WHEN {x} < 2D THEN 0.5D - {bell} * {series} ELSE 0.5D * {bell} / ({x} + {fraction}) END)"
+    return F.expr(f"CASE WHEN {z} < 0D THEN 1D - {tail} ELSE {tail} END")
 
 
 def paired_comparison(
@@ -108,7 +100,7 @@ def signed_ranks(
         F.col("_value").alias("abs_diff"),
         F.col("_up").alias("n_up"),
         F.col("_down").alias("n_down"),
-        (_doubled_rank() / F.lit(2.0)).alias("avg_rank"),
+        F.expr(f"{_DOUBLED_RANK} / 2D").alias("avg_rank"),
     )
 
 
@@ -186,54 +178,60 @@ def _ranked_values(
     return running_totals(counted, [*keys, PART], "_value", ["_up", "_down"])
 
 
-def _doubled_rank() -> Column:
-    """Twice the average rank of an absolute difference: an integer, ties or not."""
-    return 2 * (F.col("_up_before") + F.col("_down_before")) + F.col("_up") + F.col("_down") + 1
+# Twice the average rank of an absolute difference: an integer, ties or not.
+_DOUBLED_RANK = "(2 * (_up_before + _down_before) + _up + _down + 1)"
 
 
 def _statistics(ranked: DataFrame, keys: Sequence[str], exact_up_to: int) -> DataFrame:
-    here, level = F.col(PART) == DIFFERENCE, F.col(PART) == LEVEL
-    up, down = F.col("_up").cast(_EXACT), F.col("_down").cast(_EXACT)
-    rank2, tied = _doubled_rank().cast(_EXACT), up + down
-
-    def total(condition: Column, what: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(condition, what.cast(_EXACT))), F.lit(0)).cast(_EXACT).alias(name)
-
-    # Only groups with few differing pairs collect their ranks: no list is longer than exact_up_to.
-    few = here & (F.col("_up_total") + F.col("_down_total") <= exact_up_to)
-    copies = F.array_repeat(_doubled_rank().cast("int"), (F.col("_up") + F.col("_down")).cast("int"))
-    ranks = [F.flatten(F.collect_list(F.when(few, copies))).alias("_ranks2")] if exact_up_to else []
-
-    sums = ranked.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(level, F.col("_up"))), F.lit(0)).alias("n_pairs"),
-        F.coalesce(F.sum(F.when(here, F.col("_up") + F.col("_down"))), F.lit(0)).alias("n_nonzero"),
-        F.sum(F.when(level, F.col("_value") * F.col("_up"))).alias("_sum_t"),
-        F.sum(F.when(level, F.col("_value") * F.col("_down"))).alias("_sum_c"),
-        total(here, up * rank2, "_w2"),
-        total(here, down * rank2, "_l2"),
-        total(here, tied * tied * tied - tied, "_tie_term"),
+    up, down, rank2 = (f"CAST({c} AS {_EXACT})" for c in ("_up", "_down", _DOUBLED_RANK))
+    tied = f"CAST(_up + _down AS {_EXACT})"
+    below = f"CAST(2 * _down_before + _down AS {_EXACT})"
+
+    def exact(condition: str, what: str) -> str:
+        return f"CAST(coalesce(sum(CASE WHEN {condition} THEN CAST({what} AS {_EXACT}) END), 0) AS {_EXACT})"
+
+    here, level = f"{PART} = '{DIFFERENCE}'", f"{PART} = '{LEVEL}'"
+    sums = {
+        "n_pairs": f"coalesce(sum(CASE WHEN {level} THEN _up END), 0)",
+        "n_nonzero": f"coalesce(sum(CASE WHEN {here} THEN _up + _down END), 0)",
+        "_sum_t": f"sum(CASE WHEN {level} THEN _value * _up END)",
+        "_sum_c": f"sum(CASE WHEN {level} THEN _value * _down END)",
+        "_w2": exact(here, f"{up} * {rank2}"),
+        "_l2": exact(here, f"{down} * {rank2}"),
+        "_tie_term": exact(here, f"{tied} * {tied} * {tied} - {tied}"),
         # Treatment wins minus losses = sum(up * (2 * below + equal)) - n * n.
-        total(level, up * (2 * F.col("_down_before") + F.col("_down")).cast(_EXACT), "_dominance"),
-        *ranks,
-    )
-    n = F.col("n_nonzero").cast("double")
-    pairs = F.col("n_pairs").cast(_EXACT)
-    sign_sum = F.col("_dominance") - pairs * pairs
-    w_plus = F.col("_w2").cast("double") / 2.0
-    variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_tie_term").cast("double") / 48.0
-    return sums.select(
-        *keys,
-        "n_pairs",
-        "n_nonzero",
-        "_w2",
-        F.try_divide("_sum_t", "n_pairs").alias("mean_treatment"),
-        F.try_divide("_sum_c", "n_pairs").alias("mean_control"),
-        w_plus.alias("w_plus"),
-        (F.col("_l2").cast("double") / 2.0).alias("w_minus"),
-        F.try_divide(w_plus - n * (n + 1) / 4.0, F.sqrt(variance)).alias("z"),
-        sign_sum.cast(_EXACT).alias("sign_sum"),
-        F.try_divide(sign_sum.cast("double"), (pairs * pairs).cast("double")).alias("cliffs_delta"),
-        *(["_ranks2"] if exact_up_to else []),
+        "_dominance": exact(level, f"{up} * {below}"),
+    }
+    if exact_up_to:
+        # Only groups with few differing pairs collect their ranks: no list is longer than exact_up_to.
+        few = f"{here} AND _up_total + _down_total <= {exact_up_to}"
+        copies = f"array_repeat(CAST({_DOUBLED_RANK} AS INT), CAST(_up + _down AS INT))"
+        sums["_ranks2"] = f"flatten(collect_list(CASE WHEN {few} THEN {copies} END))"
+
+    n = "CAST(n_nonzero AS DOUBLE)"
+    pairs = f"CAST(n_pairs AS {_EXACT})"
+    sign_sum = f"(_dominance - {pairs} * {pairs})"
+    variance = f"({n} * ({n} + 1) * (2 * {n} + 1) / 24D - CAST(_tie_term AS DOUBLE) / 48D)"
+    shown = {
+        "n_pairs": "n_pairs",
+        "n_nonzero": "n_nonzero",
+        "_w2": "_w2",
+        "mean_treatment": "try_divide(_sum_t, n_pairs)",
+        "mean_control": "try_divide(_sum_c, n_pairs)",
+        "w_plus": "CAST(_w2 AS DOUBLE) / 2D",
+        "w_minus": "CAST(_l2 AS DOUBLE) / 2D",
+        "z": f"try_divide(CAST(_w2 AS DOUBLE) / 2D - {n} * ({n} + 1) / 4D, sqrt({variance}))",
+        "sign_sum": f"CAST({sign_sum} AS {_EXACT})",
+        "cliffs_delta": f"try_divide(CAST({sign_sum} AS DOUBLE), CAST({pairs} * {pairs} AS DOUBLE))",
+    }
+    return (
+        ranked.groupBy(*keys)
+        .agg(*[F.expr(sql).alias(name) for name, sql in sums.items()])
+        .selectExpr(
+            *[f"`{k}`" for k in keys],
+            *[f"{sql} AS {name}" for name, sql in shown.items()],
+            *(["_ranks2"] if exact_up_to else []),
+        )
     )
 
 
@@ -241,26 +239,18 @@ def _p_value(exact_up_to: int, method: str) -> Column:
     p = F.when(F.col("n_nonzero") == 0, 1.0)
     if method == "asymptotic":
         return p.otherwise(normal_upper_tail("z"))
-    p = p.when(F.col("n_nonzero") <= exact_up_to, exact_upper_tail(F.col("_ranks2"), F.col("_w2").cast("int")))
+    p = p.when(F.col("n_nonzero") <= exact_up_to, exact_upper_tail("_ranks2", "CAST(_w2 AS INT)"))
     return p if method == "exact" else p.otherwise(normal_upper_tail("z"))
 
 
-def exact_upper_tail(ranks2: Column, w2: Column) -> Column:
+def exact_upper_tail(ranks2: str, w2: str) -> Column:
     """P(doubled W+ >= w2) when every rank takes either sign with equal chance.
 
     Counts, for every sum, the sign choices that reach it: adding a rank shifts the counts by it.
     Doubled average ranks are integers, so ties are exact. Lists hold at most some tens of ranks.
     """
-    none = F.array_repeat(F.lit(0).cast("bigint"), (F.size(ranks2) * (F.size(ranks2) + 1)).cast("int"))
-    start = F.concat(F.array(F.lit(1).cast("bigint")), none)
-
-    def add(counts: Column, rank: Column) -> Column:
-        return F.transform(
-            counts, lambda n, i: n + F.when(i >= rank, F.get(counts, i - rank)).otherwise(F.lit(0).cast("bigint"))
-        )
-
-    ways = F.aggregate(ranks2, start, add)
-    reached = F.aggregate(
-        F.slice(ways, w2 + 1, F.size(ways)), F.lit(0).cast("bigint"), lambda total, n: total + n
-    )
-    return reached.cast("double") / F.pow(F.lit(2.0), F.size(ranks2))
+    none = f"array_repeat(0L, CAST(size({ranks2}) * (size({ranks2}) + 1) AS INT))"
+    ways = f"""aggregate({ranks2}, concat(array(1L), {none}), (ways, r) ->
+        transform(ways, (n, i) -> n + CASE WHEN i >= r THEN get(ways, i - r) ELSE 0L END))"""
+    reached = f"aggregate(slice({ways}, {w2} + 1, size({ranks2}) * (size({ranks2}) + 1) + 1), 0L, (total, n) -> total + n)"
+    return F.expr(f"CAST({reached} AS DOUBLE) / pow(2D, size({ranks2}))")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialstats.plans.running import attach_to_groups, join_null_safe, stored_in_ranges, totals_in_ranges
+from trialstats.plans.running import CHUNK, attach_to_groups, carried_totals, join_null_safe, stored_in_ranges
 from trialstats.session import cut_lineage
 
 ALL = "_all"
@@ -26,22 +27,39 @@ def _stored(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return stored_in_ranges(value_counts(df.withColumn(ALL, F.lit(0)), value, keys), keys, value)
 
 
-def _quantile_columns(value: str, probs: Sequence[float], names: Sequence[str]) -> tuple[list[Column], list[Column]]:
-    """Aggregates that pick the two values around each position, and the columns interpolated from them."""
-    picks: list[Column] = []
-    results: list[Column] = []
-    for i, (p, name) in enumerate(zip(probs, names)):
+def _stored_quantiles(
+    stored: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """Quantiles per group of a stored histogram, each interpolated between the two values around its position.
+
+    Chunk totals tell which chunks hold those positions; only their rows are sorted and counted.
+    """
+
+    def place(p: float) -> Column:
+        return (F.col("n_total") - 1) * F.lit(float(p))
+
+    first, end = F.col("n_carried"), F.col("n_carried") + F.col("n_chunk")
+    holds = reduce(lambda a, b: a | b, [(F.floor(place(p)) < end) & (F.ceil(place(p)) >= first) for p in probs])
+    chunks = carried_totals(stored, keys, ["n"]).filter(holds)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counted = join_null_safe(stored, chunks, [*keys, CHUNK]).withColumn(
+        "_before", F.col("n_carried") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    )
+
+    def value_at(position: Column) -> Column:
+        here = (F.col("_before") <= position) & (position < F.col("_before") + F.col("n"))
+        return F.max(F.when(here, F.col(value)))
+
+    picks = [
+        value_at(side(place(p))).alias(f"_{side.__name__}{i}") for i, p in enumerate(probs) for side in (F.floor, F.ceil)
+    ]
+    picked = counted.groupBy(*keys).agg(F.max("n_total").alias("n_total"), *picks)
 
-        def place(total: Column, p: float = p) -> Column:
-            return (total - 1) * F.lit(float(p))
+    def between(i: int, p: float) -> Column:
+        low, high = F.col(f"_floor{i}"), F.col(f"_ceil{i}")
+        return low + (high - low) * (place(p) - F.floor(place(p)))
 
-        row_place = place(F.col("n_total"))
-        for suffix, position in (("lo", F.floor(row_place)), ("hi", F.ceil(row_place))):
-            here = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
-            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{suffix}{i}"))
-        group_place, low, high = place(F.col("n_values")), F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        results.append((low + (high - low) * (group_place - F.floor(group_place))).alias(name))
-    return picks, results
+    return picked.select(*keys, *[between(i, p).alias(name) for i, (p, name) in enumerate(zip(probs, names))])
 
 
 def quantiles(
@@ -50,13 +68,8 @@ def quantiles(
     """Exact quantiles with linear interpolation, one row per group; no task holds a whole group."""
     groups = list(group_cols)
     keys = groups or [ALL]
-    placed = totals_in_ranges(_stored(df, value, keys), keys, value, ["n"])
-    picks, results = _quantile_columns(value, probs, names)
-    return (
-        placed.groupBy(*keys)
-        .agg(F.sum("n").alias("n_values"), *picks)
-        .select(*groups, "n_values", *results)
-    )
+    found = _stored_quantiles(_stored(df, value, keys), keys, value, probs, names)
+    return found.select(*groups, *names)
 
 
 def dispersion(df: DataFrame, value: str, group_cols: Sequence[str] = (), few_values: bool = False) -> DataFrame:
@@ -64,7 +77,7 @@ def dispersion(df: DataFrame, value: str, group_cols: Sequence[str] = (), few_va
 
     ``few_values`` says that a group has few distinct values by its nature (runs, 0/100 flags): then
     one built-in aggregate does it all, holding them in a map. Otherwise the quartiles are looked up
-    in running totals.
+    by position.
     """
     groups = list(group_cols)
     shown = ["n_values", "mean", "median", "sd", "p25", "p75", "min", "max"]
@@ -89,30 +102,26 @@ def dispersion(df: DataFrame, value: str, group_cols: Sequence[str] = (), few_va
 
     keys = groups or [ALL]
     stored = _stored(df, value, keys)
-    picks, results = _quantile_columns(value, (0.25, 0.5, 0.75), ("p25", "median", "p75"))
-    moments = totals_in_ranges(stored, keys, value, ["n"]).groupBy(*keys).agg(
-        F.sum("n").alias("n_values"),
-        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        *picks,
-    )
-    # Deviations from the mean in a second step: the difference of two large sums would lose digits.
+    quartiles = _stored_quantiles(stored, keys, value, (0.25, 0.5, 0.75), ("p25", "median", "p75"))
     means = stored.groupBy(*keys).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"))
-    spread = (
+    # Deviations from the mean in a second step: the difference of two large sums would lose digits.
+    moments = (
         attach_to_groups(stored, means, keys, value)
-        .groupBy(*keys)
-        .agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col(value) - F.col("mean"), 2)) / F.sum("n")).alias("sd"))
+        .groupBy(*keys, "mean")
+        .agg(
+            F.sum("n").alias("n_values"),
+            F.sqrt(F.sum(F.col("n") * F.pow(F.col(value) - F.col("mean"), 2)) / F.sum("n")).alias("sd"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        )
     )
-    return join_null_safe(moments, spread, keys).select("*", *results).select(*groups, *shown)
+    return join_null_safe(moments, quartiles, keys).select(*groups, *shown)
 
 
 def box_plot(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 quartile ranges) and number of outliers per group."""
     stored = _stored(df, value, [group])
-    picks, results = _quantile_columns(value, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
-    placed = totals_in_ranges(stored, [group], value, ["n"])
-    quartiles = placed.groupBy(group).agg(F.sum("n").alias("n_values"), *picks).select(group, *results)
+    quartiles = _stored_quantiles(stored, [group], value, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - fence, F.col("q3") + fence)
     return (

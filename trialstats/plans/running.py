@@ -33,6 +33,23 @@ def stored_in_ranges(
     return cut_lineage(ranged).withColumn(CHUNK, F.spark_partition_id())
 
 
+def carried_totals(ranged: DataFrame, group_cols: Sequence[str], sum_cols: Sequence[str]) -> DataFrame:
+    """One row per group and chunk: ``<c>_chunk``, ``<c>_carried`` over earlier chunks and ``<c>_total``."""
+    groups = list(group_cols)
+    # At most as many rows as chunks in any of these windows.
+    earlier = Window.partitionBy(*groups).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
+    return (
+        ranged.groupBy(*groups, CHUNK)
+        .agg(*[F.sum(c).alias(f"{c}_chunk") for c in sum_cols])
+        .select(
+            "*",
+            *[F.coalesce(F.sum(f"{c}_chunk").over(earlier), F.lit(0)).alias(f"{c}_carried") for c in sum_cols],
+            *[F.sum(f"{c}_chunk").over(whole).alias(f"{c}_total") for c in sum_cols],
+        )
+    )
+
+
 def totals_in_ranges(
     ranged: DataFrame, group_cols: Sequence[str], value_col: str, sum_cols: Sequence[str]
 ) -> DataFrame:
@@ -45,19 +62,7 @@ def totals_in_ranges(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_inside") for c in sum_cols]
     )
 
-    # One row per group and chunk, so at most as many rows as chunks in any of these windows.
-    earlier = Window.partitionBy(*groups).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    carried = (
-        ranged.groupBy(*groups, CHUNK)
-        .agg(*[F.sum(c).alias(c) for c in sum_cols])
-        .select(
-            *groups,
-            CHUNK,
-            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_carried") for c in sum_cols],
-            *[F.sum(c).over(whole).alias(f"{c}_total") for c in sum_cols],
-        )
-    )
+    carried = carried_totals(ranged, groups, sum_cols).drop(*[f"{c}_chunk" for c in sum_cols])
 
     # Joined by group and chunk, not by group: a group that spans many chunks stays split.
     return join_null_safe(within, carried, [*groups, CHUNK]).select(
