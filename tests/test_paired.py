@@ -214,6 +214,18 @@ def test_quantiles_as_numpy(spark):
     assert [tails.low, tails.high] == pytest.approx(list(np.percentile(local.f2p_treatment, [1, 99.9])))
 
 
+def test_many_groups_take_the_salted_join(spark, monkeypatch):
+    data = skewed(spark)
+    broadcast = {r.g: tuple(r) for r in dispersion(data, "f2p_treatment", ["g"]).collect()}
+    boxes = rows(box_plot(data, "f2p_treatment", "g"))
+    monkeypatch.setattr("trialstats.plans.quantiles.few_rows", lambda stored: False)
+    salted = dispersion(data, "f2p_treatment", ["g"])
+    assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
+    for row in salted.collect():
+        assert tuple(row)[1:] == pytest.approx(broadcast[row.g][1:])
+    assert rows(box_plot(data, "f2p_treatment", "g")) == boxes
+
+
 def test_box_plot(spark):
     df = spark.createDataFrame([("a", float(x)) for x in [1, 2, 3, 4, 5, 100]], "arm string, v double")
     assert rows(box_plot(df, "v", "arm")) == [("a", 2.25, 3.5, 4.75, 1.0, 5.0, 1)]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions.keys import DEFAULT_DOMAIN, compat_repo
-from trialstats.session import cut_lineage
+from trialstats.session import stored_table
 
 
 def latest(lookup: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def attach_repo(
 
     Where the lookup repeats a key, its last row by ``order`` wins. ``unique`` says that it repeats none.
     """
-    found = (lookup if unique else cut_lineage(latest(lookup, lookup_id, repo_col, order))).select(
+    found = (lookup if unique else stored_table(latest(lookup, lookup_id, repo_col, order))).select(
         F.col(lookup_id).alias(id_col), F.col(repo_col).alias("_found")
     )
     return (
@@ -69,7 +69,7 @@ def attach_domain(
 
     Where the lookup repeats a key, its last row by ``order`` wins. ``unique`` says that it repeats none.
     """
-    found = (lookup if unique else cut_lineage(latest(lookup, owner_col, domain_col, order))).select(
+    found = (lookup if unique else stored_table(latest(lookup, owner_col, domain_col, order))).select(
         owner_col, F.col(domain_col).alias("_found")
     )
     return (

@@ -14,7 +14,7 @@ from trialstats.operators.passk import pass_at_all
 from trialstats.operators.rates import RUN, breakdown, paired_counts, paired_rates, rates_of_counts, task_summary
 from trialstats.plans.paired import paired_comparison
 from trialstats.plans.running import join_null_safe
-from trialstats.session import cut_lineage
+from trialstats.session import stored_table
 from trialstats.sources.writers import metric_report
 
 _KEYS = {"owner": owner, "repo": true_repo, "compat": compat_repo}
@@ -58,7 +58,7 @@ def domain_comparison(
 
     Owners are looked up once they are reduced to rates, one row per owner and run.
     """
-    lookup = cut_lineage(latest(domains, "owner", "domain"))
+    lookup = stored_table(latest(domains, "owner", "domain"))
     pairs = paired_rates(with_key(trials, "owner", "owner"), ["owner", RUN])
     named = attach_domain(pairs, lookup, default=default, unique=True)
     tests = paired_comparison(named, group_cols=["domain"], **options)
@@ -74,7 +74,7 @@ def summary_row(
     pairs and the rates of whole runs, and once per task for Pass@K.
     """
     keyed = with_key(trials, key)
-    counted = cut_lineage(keyed.groupBy("pair_key", RUN).agg(*paired_counts()))
+    counted = stored_table(keyed.groupBy("pair_key", RUN).agg(*paired_counts()))
     pairs = rates_of_counts(counted.filter("pair_key IS NOT NULL"), ["pair_key", RUN])
     sums = [F.sum(c).alias(c) for c in ("n_failing", "n_rescued", "n_control")]
     runs = rates_of_counts(counted.groupBy(RUN).agg(*sums), [RUN])

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialstats.plans.running import CHUNK, attach_to_groups, carried_totals, join_null_safe, stored_in_ranges
-from trialstats.session import cut_lineage
+from trialstats.plans.running import (
+    CHUNK,
+    attach_to_groups,
+    carried_totals,
+    few_rows,
+    join_null_safe,
+    stored_in_ranges,
+)
+from trialstats.session import stored_table
 
 ALL = "_all"
 
@@ -23,12 +31,24 @@ def value_counts(df: DataFrame, value: str, group_cols: Sequence[str] = ()) -> D
     )
 
 
-def _stored(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    return stored_in_ranges(value_counts(df.withColumn(ALL, F.lit(0)), value, keys), keys, value)
+@dataclass(frozen=True)
+class _Histogram:
+    """A stored histogram, its stored totals per group and chunk, and whether these are few."""
+
+    rows: DataFrame
+    chunks: DataFrame
+    few: bool
+
+
+def _stored(df: DataFrame, value: str, keys: Sequence[str]) -> _Histogram:
+    rows = stored_in_ranges(value_counts(df.withColumn(ALL, F.lit(0)), value, keys), keys, value)
+    weighted = rows.withColumn("_weighted", F.col(value) * F.col("n"))
+    chunks = stored_table(carried_totals(weighted, keys, ["n", "_weighted"]))
+    return _Histogram(rows, chunks, few_rows(chunks))
 
 
 def _stored_quantiles(
-    stored: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
+    stored: _Histogram, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """Quantiles per group of a stored histogram, each interpolated between the two values around its position.
 
@@ -40,11 +60,10 @@ def _stored_quantiles(
 
     first, end = F.col("n_carried"), F.col("n_carried") + F.col("n_chunk")
     holds = reduce(lambda a, b: a | b, [(F.floor(place(p)) < end) & (F.ceil(place(p)) >= first) for p in probs])
-    chunks = carried_totals(stored, keys, ["n"]).filter(holds)
+    chunks = stored.chunks.filter(holds).select(*keys, CHUNK, "n_carried", "n_total")
+    near = join_null_safe(stored.rows, F.broadcast(chunks) if stored.few else chunks, [*keys, CHUNK])
     inside = Window.partitionBy(*keys, CHUNK).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counted = join_null_safe(stored, chunks, [*keys, CHUNK]).withColumn(
-        "_before", F.col("n_carried") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    )
+    counted = near.withColumn("_before", F.col("n_carried") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
 
     def value_at(position: Column) -> Column:
         here = (F.col("_before") <= position) & (position < F.col("_before") + F.col("n"))
@@ -103,10 +122,10 @@ def dispersion(df: DataFrame, value: str, group_cols: Sequence[str] = (), few_va
     keys = groups or [ALL]
     stored = _stored(df, value, keys)
     quartiles = _stored_quantiles(stored, keys, value, (0.25, 0.5, 0.75), ("p25", "median", "p75"))
-    means = stored.groupBy(*keys).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"))
+    means = stored.chunks.groupBy(*keys).agg((F.sum("_weighted_chunk") / F.sum("n_chunk")).alias("mean"))
     # Deviations from the mean in a second step: the difference of two large sums would lose digits.
     moments = (
-        attach_to_groups(stored, means, keys, value)
+        attach_to_groups(stored.rows, means, keys, value, stored.few)
         .groupBy(*keys, "mean")
         .agg(
             F.sum("n").alias("n_values"),
@@ -125,7 +144,7 @@ def box_plot(df: DataFrame, value: str, group: str) -> DataFrame:
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - fence, F.col("q3") + fence)
     return (
-        attach_to_groups(stored, quartiles, [group], value)
+        attach_to_groups(stored.rows, quartiles, [group], value, stored.few)
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -141,7 +160,7 @@ def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
     A single value gets a range of one around it. The value counts are stored, so that ``df`` is read
     once, and the range is a scalar subquery over them.
     """
-    counted = cut_lineage(value_counts(df, value))
+    counted = stored_table(value_counts(df, value))
     ends = counted.agg(F.min(value).alias("low"), F.max(value).alias("high"))
     flat = F.col("low") == F.col("high")
     ends = ends.select(

@@ -14,10 +14,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialstats.session import cut_lineage
+from trialstats.session import stored_table
 
 CHUNK = "_chunk"
 
+# A table of no more counted rows than this may be broadcast: some tens of megabytes at most.
+BROADCAST_ROWS = 100_000
+
 
 def stored_in_ranges(
     histogram: DataFrame, group_cols: Sequence[str], value_col: str, chunks: int | None = None
@@ -30,7 +33,9 @@ def stored_in_ranges(
     """
     chunks = chunks or int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = histogram.repartitionByRange(chunks, *group_cols, value_col)
-    return cut_lineage(ranged).withColumn(CHUNK, F.spark_partition_id())
+    # Every range is one task of the write, and its number is in the names of the files that task wrote.
+    number = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("int")
+    return stored_table(ranged).select("*", number.alias(CHUNK))
 
 
 def carried_totals(ranged: DataFrame, group_cols: Sequence[str], sum_cols: Sequence[str]) -> DataFrame:
@@ -84,17 +89,26 @@ def running_totals(
     return totals_in_ranges(ranged, group_cols, value_col, sum_cols)
 
 
+def few_rows(stored: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Is a stored table small enough to broadcast: counted, not estimated."""
+    return stored.count() <= limit
+
+
 def attach_to_groups(
-    rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread_by: str, salts: int = 32
+    rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread_by: str, few: bool, salts: int = 32
 ) -> DataFrame:
-    """Give every row the values of its group, with each group dealt over ``salts`` join keys.
+    """Give every row the values of its group; ``per_group`` holds one row per group.
 
-    ``per_group`` holds one row per group and is repeated per salt; ``spread_by`` is the column whose
-    hash deals the rows, one with many distinct values inside a group.
+    Where there are few groups, as checked with ``few_rows``, they are broadcast. Otherwise each group
+    is dealt over ``salts`` join keys, so that one with most of the rows is split: ``per_group`` is
+    repeated per salt, and ``spread_by`` is the column whose hash deals the rows, one with many distinct
+    values inside a group.
     """
+    if few:
+        return join_null_safe(rows, F.broadcast(per_group), keys)
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return join_null_safe(dealt, copies, [*keys, "_salt"]).drop("_salt")
+    salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    return join_null_safe(dealt, per_group.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
