@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from trialstats.llm import personal_data, secret_scan
 from trialstats.llm.decontaminate import contamination
 from trialstats.llm.exact_dedup import exact_groups
+from trialstats.llm.line_dedup import repeated_lines
 from trialstats.llm.mixing import mixture
+from trialstats.llm.passages import repeated_passages
 from trialstats.llm.quality import judge
 from trialstats.llm.simhash import fingerprint_hex, simhash_groups
+from trialstats.llm.url_filter import filtered, host_of, path_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +103,63 @@ def op6(spark, sf_dir):
 @query("op7_personal_data")
 def op7(spark, sf_dir):
     return personal_data.report(personal_data.personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op2_passages")
+def op2(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op5_line_dedup")
+def op5(spark, sf_dir):
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", F.size("cut").cast("bigint").alias("n_cut"), F.array_join("cut", ",").alias("cut_lines"),
+        F.array_join("refs", ",").alias("ref_ids"),
+    )
+
+
+# The first second of 2024 and the seconds of thirty days.
+EPOCH, MONTH = 1_704_067_200, 2_592_000
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """All pages with a time of fetching, which the table lacks: made of their ids, evenly over thirty days."""
+    return pages.select("page_id", "url", (F.lit(EPOCH) + F.col("page_id") * 7919 % MONTH).alias("fetched_at"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated entry for every page: its domain, or its host and first step, put on the list or taken off."""
+    host, step, n = host_of(F.col("url")), path_of(F.col("url")), F.col("page_id")
+    key = F.when(n % 5 < 2, F.substring_index(host, ".", -3)).otherwise(F.concat_ws("/", host, step))
+    return pages.select(key.alias("key"), (F.lit(EPOCH) + n * 104729 % MONTH).alias("ts"), (n * 31 % 7 == 0).alias("listed"))
+
+
+@query(
+    "op8_url_filter",
+    r"""WITH parts AS (
+  SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) AS step,
+    1704067200 + page_id * 7919 % 2592000 AS fetched_at, 1704067200 + page_id * 104729 % 2592000 AS ts FROM pages),
+labels AS (SELECT *, string_split(host, '.') AS l FROM parts),
+entries AS (
+  SELECT key, ts, max(listed) AS listed FROM (
+    SELECT CASE WHEN page_id % 5 < 2 THEN array_to_string(l[greatest(len(l) - 2, 1):], '.') ELSE host || '/' || step END AS key, ts,
+      page_id * 31 % 7 = 0 AS listed FROM labels) GROUP BY 1, 2),
+periods AS (SELECT key, ts AS valid_from, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS valid_to, listed FROM entries),
+asked AS (
+  SELECT DISTINCT page_id, fetched_at, key FROM (
+    SELECT page_id, fetched_at, array_to_string(l[i:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i FROM labels)
+    UNION ALL SELECT page_id, fetched_at, host || '/' || step FROM labels WHERE step <> '')),
+active AS (
+  SELECT page_id, key, valid_from, valid_to FROM asked JOIN periods USING (key)
+  WHERE listed AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)),
+best AS (
+  SELECT page_id, count(*) OVER (PARTITION BY page_id) AS n_listed, key AS rule, valid_from, valid_to FROM active
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC, key DESC) = 1)
+SELECT page_id, host, fetched_at, coalesce(n_listed, 0) AS n_listed, rule, valid_from, valid_to, n_listed IS NOT NULL AS blocked
+FROM parts LEFT JOIN best USING (page_id)""",
+)
+def op8(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return filtered(captures(pages), list_entries(pages)).withColumnRenamed("id", "page_id")
