@@ -28,6 +28,15 @@ def same(left: str, right: str, names: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, pairs)
 
 
+def with_keys(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``_row``, all columns of ``docs``, beside ``keys``: a column of any name may be among the former."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def without_keys(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 def join_same(rows: DataFrame, other: DataFrame, names: Sequence[str], how: str) -> DataFrame:
     """Join on equal ``names``, null matching null; keeps the columns of ``rows``, then the new ones."""
     a, b = rows.alias("_a"), other.alias("_b")

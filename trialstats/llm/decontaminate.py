@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.llm.common import ascii_lower, join_same, whole_text
+from trialstats.llm.common import ascii_lower, join_same, whole_text, with_keys, without_keys
 from trialstats.session import stored_table
 
 WINDOW = 13
@@ -108,5 +108,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs`` that are not contaminated, with all their columns. Null ids are told apart by text."""
     lost = contamination(docs, benchmark, id_col, text_col).filter("contaminated")
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(whole_text(text_col)).alias("_hash"))
-    return join_same(rows, lost, ["_id", "_hash"], "left_anti").drop("_id", "_hash")
+    rows = with_keys(docs, _id=F.col(id_col), _hash=F.xxhash64(whole_text(text_col)))
+    return without_keys(join_same(rows, lost, ["_id", "_hash"], "left_anti"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.llm.common import join_same, whole_text
+from trialstats.llm.common import join_same, whole_text, with_keys, without_keys
 from trialstats.session import stored_table
 
 # Frequent digests that are kept: bounds what is broadcast, whatever the table.
@@ -89,7 +89,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns."""
     groups = stored_table(exact_groups(docs, id_col, text_col).withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest"))
-    rows = docs.select("*", F.col(id_col).alias("_id"), text_digest(text_col).alias("_digest"))
+    rows = with_keys(docs, _id=F.col(id_col), _digest=text_digest(text_col))
     keys = ["_id", "_digest"]
     lost = groups.filter(~F.col("kept") & ~F.col("_id").eqNullSafe(F.col("keep_id"))).select(*keys)
     out = join_same(rows, lost, keys, "left_anti")
@@ -98,4 +98,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not twice.isEmpty():
         again = join_same(rows, twice, keys, "left_semi").dropDuplicates(keys)
         out = join_same(out, twice, keys, "left_anti").unionByName(again)
-    return out.drop(*keys)
+    return without_keys(out)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.llm.common import join_same, whole_text
+from trialstats.llm.common import join_same, whole_text, with_keys
 from trialstats.session import stored_table
 
 RARE = 64
@@ -155,11 +155,12 @@ def repeated_lines(
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the repeated lines taken out of their texts. Rows that repeat id and text keep their lines in one of them alone."""
+    """``docs`` with the repeated lines taken out of their texts. Rows that repeat id and text all lose what one of them loses."""
     found = repeated_lines(docs, id_col, text_col, **options)
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "cut").filter("size(cut) > 0").dropDuplicates(["_id", "_hash"])
-    rows = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(whole_text(text_col)).alias("_hash"))
+    rows = with_keys(docs, _id=F.col(id_col), _hash=F.xxhash64(whole_text(text_col)))
     rows = join_same(rows, found.withColumnRenamed("cut", "_cut"), ["_id", "_hash"], "left")
-    kept = F.filter(lines_of(F.col(text_col)), lambda x, i: ~F.array_contains("_cut", i))
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn(text_col, text).drop("_id", "_hash", "_cut")
+    text = F.col(f"_row.`{text_col}`")
+    kept = F.filter(lines_of(text), lambda x, i: ~F.array_contains("_cut", i))
+    text = F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return rows.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.llm.common import join_same, whole_text
+from trialstats.llm.common import join_same, whole_text, with_keys, without_keys
 from trialstats.session import stored_table
 
 SWEEPS = 60
@@ -126,5 +126,5 @@ def sampled_documents(docs: DataFrame, **options) -> DataFrame:
     chosen = mixture(docs, **options).filter("sampled")
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("weight").alias("mix_weight")).distinct()
-    rows = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(whole_text(text_col)).alias("_hash"))
-    return join_same(rows, chosen, ["_id", "_hash"], "inner").drop("_id", "_hash")
+    rows = with_keys(docs, _id=F.col(id_col), _hash=F.xxhash64(whole_text(text_col)))
+    return join_same(rows, chosen, ["_id", "_hash"], "inner").select("_row.*", "mix_weight")

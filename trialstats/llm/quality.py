@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.llm.common import join_same, whole_text
+from trialstats.llm.common import join_same, whole_text, with_keys, without_keys
 from trialstats.session import stored_table
 
 # Labelled rows, by hash of their id, that the classifier is fitted on.
@@ -245,5 +245,5 @@ def drop_poor(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
     lost = judge(docs, labels, **columns).filter("NOT kept AND doc_id IS NOT NULL")
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(whole_text(text_col)).alias("_hash"))
-    return join_same(rows, lost, ["_id", "_hash"], "left_anti").drop("_id", "_hash")
+    rows = with_keys(docs, _id=F.col(id_col), _hash=F.xxhash64(whole_text(text_col)))
+    return without_keys(join_same(rows, lost, ["_id", "_hash"], "left_anti"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialstats.llm.common import join_same, whole_text
+from trialstats.llm.common import join_same, whole_text, with_keys, without_keys
 from trialstats.llm.components import connected
 from trialstats.session import stored_table
 
@@ -262,5 +262,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     groups = simhash_groups(docs, id_col, text_col)
     lost = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(whole_text(text_col)).alias("_hash"))
-    return join_same(rows, lost, ["_id", "_hash"], "left_anti").drop("_id", "_hash")
+    rows = with_keys(docs, _id=F.col(id_col), _hash=F.xxhash64(whole_text(text_col)))
+    return without_keys(join_same(rows, lost, ["_id", "_hash"], "left_anti"))
