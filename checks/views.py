@@ -9,26 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialstats.functions.keys import DEFAULT_DOMAIN
-from trialstats.operators.sampling import control_arm
-from trialstats.sources.readers import dealt_out, read_parquet
+from trialstats.sources.readers import read_parquet
 
 RUNS = 7
-CONTROL_P = 0.1606
-
-
-# Key columns of the tables that are worth dealing out.
-TABLE_KEYS = {
-    "lineitem": ("l_orderkey", "l_linenumber"),
-    "orders": ("o_orderkey",),
-    "events": ("event_id",),
-    "conversations": ("conv_id", "turn"),
-    "pages": ("page_id",),
-}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    scan = read_parquet(spark, f"{sf_dir}/{name}.parquet")
-    return dealt_out(scan, *TABLE_KEYS[name]) if name in TABLE_KEYS else scan
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _task_id(key: str):
@@ -38,8 +25,7 @@ def _task_id(key: str):
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with the outcomes of two arms."""
-    lines = control_arm(table(spark, sf_dir, "lineitem"), CONTROL_P, ["l_orderkey", "l_linenumber"])
-    return lines.select(
+    return table(spark, sf_dir, "lineitem").select(
         _task_id("l_orderkey").alias("task_id"),
         F.col("l_linenumber").alias("sample_index"),
         F.when(F.col("l_returnflag") == "N", "pass").otherwise("fail").alias("initial_state"),
@@ -47,7 +33,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_quantity") <= 10, "pass")
         .otherwise("fail")
         .alias("final_state"),
-        "base_state",
+        F.when(F.col("l_tax") <= 0.01, "pass").otherwise("fail").alias("base_state"),
     )
 
 
@@ -115,8 +101,7 @@ TRIALS = """trials AS (
          l_linenumber AS sample_index,
          CASE WHEN l_returnflag = 'N' THEN 'pass' ELSE 'fail' END AS initial_state,
          CASE WHEN l_quantity = 50 THEN 'INVALID' WHEN l_quantity <= 10 THEN 'pass' ELSE 'fail' END AS final_state,
-         CASE WHEN ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber)), 1, 8))::UBIGINT / 4294967296.0::DOUBLE
-                   < 0.1606 THEN 'pass' ELSE 'fail' END AS base_state
+         CASE WHEN l_tax <= 0.01 THEN 'pass' ELSE 'fail' END AS base_state
   FROM lineitem)"""
 
 TASKS = """tasks AS (

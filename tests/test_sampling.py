@@ -77,9 +77,9 @@ def test_hash_shards(ids):
     assert got == {n: int(hashlib.md5(n.encode()).hexdigest()[:8], 16) % 8 for n in got}
 
 
-def test_control_arm(spark):
+def test_uniform(spark):
     df = spark.range(20000).withColumn("run", F.col("id") % 3)
-    share = sampling.control_arm(df, 0.1606, ["id", "run"]).agg(F.avg((F.col("base_state") == "pass").cast("int"))).first()[0]
+    share = df.agg(F.avg((uniform(["id", "run"]) < 0.1606).cast("int"))).first()[0]
     assert share == pytest.approx(0.1606, abs=0.01)
     u = df.limit(1).select(uniform(["id", "run"], 9).alias("u"), "id", "run").first()
     assert u.u == int(hashlib.md5(f"9|{u.id}|{u.run}".encode()).hexdigest()[:8], 16) / 2**32

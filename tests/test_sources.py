@@ -6,7 +6,9 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from trialstats.functions.text import parsed_log
 from trialstats.sources import readers, writers
 from trialstats.sources.paths import first_matching, matching
 
@@ -162,3 +164,46 @@ def test_rendered_nulls(spark):
 
     df = spark.createDataFrame([("r", None)], "repo string, doc string")
     assert df.select(render("for {repo}: {doc}!").alias("t")).first().t == "for r: None!"
+
+
+def test_csv_keeps_quotes_and_breaks(spark, tmp_path):
+    texts = ["line one\nline two", 'say "hi", ok', 'a\\"b', "plain", ""]
+    schema = "n int, text string"
+    df = spark.createDataFrame(list(enumerate(texts)), schema)
+    writers.write_csv(df, f"{tmp_path}/csv")
+    back = readers.read_csv(spark, f"{tmp_path}/csv", df.schema)
+    assert [(r.n, r.text or "") for r in back.orderBy("n").collect()] == list(enumerate(texts))
+
+
+def test_swapped_header_is_an_error(spark, tmp_path):
+    (tmp_path / "k3.csv").write_text("task_id,sample_index,final_state,initial_state\na__b-1,1,pass,fail\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, f"{tmp_path}/k3.csv").collect()
+
+
+def test_resume_sees_partitioned_results(spark, tmp_path, make_trials):
+    done = make_trials([("a__b-1", 1, "fail", "pass"), ("a__b-2", 1, "fail", "fail")])
+    writers.write_partitioned(done.withColumn("shard", F.lit(0)), f"{tmp_path}/out")
+    found = writers.written_results(spark, f"{tmp_path}/out")
+    assert found.count() == 2 and writers.remaining_trials(done, found).count() == 0
+
+
+def test_log_keeps_line_breaks(spark, tmp_path):
+    error = "first\nsecond \\n third\r\\"
+    run = spark.createDataFrame([(0, "m", "t", 1, "fail", 0.5, error)], "ts int, model string, task_id string, sample_index int, state string, cost double, error_msg string")
+    writers.append_log(run.withColumn("ts", F.timestamp_seconds("ts")), f"{tmp_path}/log")
+    lines = spark.read.text(f"{tmp_path}/log")
+    assert lines.count() == 1 and lines.select(*parsed_log("value")).first().error_msg == error
+
+
+def test_tree_under_a_folder_with_a_space(spark, tmp_path):
+    root = tmp_path / "env dir" / "a+b c"
+    spark.range(3).write.parquet(f"{root}/good")
+    spark.range(5).write.parquet(f"{root}/env x")
+    assert readers.read_parquet_tree(spark, str(root)).count() == 3
+
+
+@pytest.mark.parametrize("name", ["instance_id", "task_id", "id"])
+def test_json_lines_under_any_id_name(spark, tmp_path, name):
+    (tmp_path / "t.json").write_text(f'{{"{name}": "a__b-1", "repo": "a/b"}}\n{{"{name}": "a__b-2", "repo": "a/b"}}\n')
+    assert readers.read_json(spark, f"{tmp_path}/t.json").count() == 2

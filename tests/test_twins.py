@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
+from checks.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,7 @@ def same(a, b) -> bool:
     return a == b or (pd.isna(a) and pd.isna(b))
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_twin(spark, tiny, database, name):
     ours = driver.queries()[name](spark, tiny).toPandas()
     twin = database.execute(driver.oracle_sql()[name]).df()

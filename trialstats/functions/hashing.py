@@ -19,11 +19,6 @@ def uniform(keys: Sequence[str], seed: int | str | None = None) -> Column:
     return F.conv(F.substring(key_hash(keys, seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def bernoulli_state(p: float, keys: Sequence[str], seed: int | str | None = None) -> Column:
-    """``pass`` with probability ``p``, else ``fail``."""
-    return F.when(uniform(keys, seed) < p, "pass").otherwise("fail")
-
-
 def hash_shard(key: str, shards: int) -> Column:
     """Shard number by key hash: no order, no shuffle; shard sizes are only about equal."""
     return F.pmod(F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("bigint"), F.lit(shards)).cast("int")

@@ -31,12 +31,31 @@ def render(template: str, null_text: str = "None") -> Column:
     return F.concat(*texts)
 
 
+# A break in a text, and how a log line shows it; the backslash itself comes first.
+_BREAKS = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _one_line(text: Column) -> Column:
+    for plain, shown in _BREAKS:
+        text = F.replace(text, F.lit(plain), F.lit(shown))
+    return text
+
+
+def _as_written(text: Column) -> Column:
+    mark = F.lit("\x00")  # stands for an escaped backslash meanwhile
+    text = F.replace(text, F.lit(_BREAKS[0][1]), mark)
+    for plain, shown in _BREAKS[1:]:
+        text = F.replace(text, F.lit(shown), F.lit(plain))
+    return F.replace(text, mark, F.lit(_BREAKS[0][0]))
+
+
 def log_line(ts: str, model: str, task_id: str, sample_index: str, state: str, cost: str, error: str) -> Column:
     """One run-log line: seconds since the epoch first, then the labelled fields."""
     seconds = F.format_string("%.6f", F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6))
     fields = [
         seconds,
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (model, task_id, sample_index, state, cost, error)],
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (model, task_id, sample_index, state, cost)],
+        _one_line(F.coalesce(F.col(error).cast("string"), F.lit(""))),
     ]
     return F.concat_ws(
         LOG_SEPARATOR, *[F.concat(F.lit(f"{label}: "), field) for label, field in zip(LOG_LABELS, fields)]
@@ -58,5 +77,5 @@ def parsed_log(line: str) -> list[Column]:
         field(4).try_cast("int").alias("sample_index"),
         field(5).alias("state"),
         field(6).try_cast("double").alias("cost"),
-        field(7).alias("error_msg"),
+        _as_written(field(7)).alias("error_msg"),
     ]

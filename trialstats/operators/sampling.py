@@ -1,4 +1,4 @@
-"""Exact seeded samples, control arms and shards, without a global sort in one task.
+"""Exact seeded samples and shards, without a global sort in one task.
 
 Ids are ordered by md5 of ``seed|id``. The leading hex digits of the hash cut the ids into chunks of
 about equal size, whatever the ids look like: counts per chunk (16^digits rows at most) say where the
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialstats.functions.hashing import bernoulli_state, key_hash
+from trialstats.functions.hashing import key_hash
 from trialstats.operators.joins import keep_ids
 from trialstats.plans.running import join_null_safe, running_totals
 
@@ -79,13 +79,6 @@ def sample_strata(
     return _sample(df, id_col, F.ceil(F.col("_total") * F.lit(fraction)), (stratum,), seed, digits)
 
 
-def control_arm(
-    df: DataFrame, p: float, keys: Sequence[str], seed: int | str | None = None, column: str = "base_state"
-) -> DataFrame:
-    """Add a control outcome: ``pass`` with probability ``p``, drawn from the row key alone."""
-    return df.withColumn(column, bernoulli_state(p, keys, seed))
-
-
 def round_robin_shards(df: DataFrame, id_col: str, shards: int, chunks: int | None = None) -> DataFrame:
     """Distinct ids in order, dealt to shards 0, 1, .., so that shard sizes differ by at most one.
 

@@ -21,6 +21,9 @@ _EXACT = "decimal(38,0)"  # counts of pairs of trials outgrow 64 bits
 
 DIFFERENCE, LEVEL = "difference", "level"
 
+# Sums of doubled ranks of so many pairs still fit an index.
+_MOST_PAIRS = 40_000
+
 
 def normal_upper_tail(z: str) -> Column:
     """P(Z > z) to about 12 digits, far tails included: half of erfc(z / sqrt 2), by built-in functions.
@@ -55,20 +58,21 @@ def paired_comparison(
     Zero differences are dropped and equal absolute differences share their average rank. Differences
     are raw doubles, so ties are float ties; ``tie_decimals`` rounds them first. ``method`` is
     ``auto`` (exact p up to ``exact_up_to`` differing pairs, else the normal approximation with tie
-    correction and no continuity correction), ``exact`` (as far as ``exact_up_to``; null beyond), or
-    ``asymptotic``.
+    correction and no continuity correction), ``exact`` whatever the number of pairs (cost grows with its
+    cube), or ``asymptotic``. ``p_method`` says which was used.
     A group whose differences are all zero has W+ 0 and p 1.
     """
     if method not in ("auto", "exact", "asymptotic"):
         raise ValueError(f"method must be auto, exact or asymptotic, not {method}")
-    if exact_up_to > 60:
-        raise ValueError("sign choices of more than 60 pairs are too many to count in 64 bits")
     groups = list(group_cols)
     keys = groups or [ALL]
     ranked = _ranked_values(pairs, treatment, control, groups, tie_decimals)
-    stats = _statistics(ranked, keys, exact_up_to if with_p and method != "asymptotic" else 0)
+    stats = _statistics(ranked, keys, _listed(exact_up_to, method) if with_p else 0)
     if with_p:
-        stats = stats.withColumn("p_value", _p_value(exact_up_to, method))
+        exact = F.col("n_nonzero") <= _listed(exact_up_to, method)
+        p = normal_upper_tail("z") if method == "asymptotic" else _p_value(exact)
+        p = F.when(F.col("n_nonzero") == 0, 1.0).otherwise(p)
+        stats = stats.withColumn("p_value", p).withColumn("p_method", F.when(exact, "exact").otherwise("asymptotic"))
     return stats.withColumn("effect", effect_label("cliffs_delta", scale)).select(
         *groups,
         "n_pairs",
@@ -78,7 +82,7 @@ def paired_comparison(
         "w_plus",
         "w_minus",
         "z",
-        *(["p_value"] if with_p else []),
+        *(["p_value", "p_method"] if with_p else []),
         "sign_sum",
         "cliffs_delta",
         "effect",
@@ -203,7 +207,7 @@ def _statistics(ranked: DataFrame, keys: Sequence[str], exact_up_to: int) -> Dat
         "_dominance": exact(level, f"{up} * {below}"),
     }
     if exact_up_to:
-        # Only groups with few differing pairs collect their ranks: no list is longer than exact_up_to.
+        # Only groups that get an exact p collect their ranks.
         few = f"{here} AND _up_total + _down_total <= {exact_up_to}"
         copies = f"array_repeat(CAST({_DOUBLED_RANK} AS INT), CAST(_up + _down AS INT))"
         sums["_ranks2"] = f"flatten(collect_list(CASE WHEN {few} THEN {copies} END))"
@@ -235,22 +239,22 @@ def _statistics(ranked: DataFrame, keys: Sequence[str], exact_up_to: int) -> Dat
     )
 
 
-def _p_value(exact_up_to: int, method: str) -> Column:
-    p = F.when(F.col("n_nonzero") == 0, 1.0)
-    if method == "asymptotic":
-        return p.otherwise(normal_upper_tail("z"))
-    p = p.when(F.col("n_nonzero") <= exact_up_to, exact_upper_tail("_ranks2", "CAST(_w2 AS INT)"))
-    return p if method == "exact" else p.otherwise(normal_upper_tail("z"))
+def _listed(exact_up_to: int, method: str) -> int:
+    """The most differing pairs for which p is exact."""
+    return {"asymptotic": 0, "exact": _MOST_PAIRS}.get(method, exact_up_to)
+
+
+def _p_value(exact: Column) -> Column:
+    return F.when(exact, exact_upper_tail("_ranks2", "CAST(_w2 AS INT)")).otherwise(normal_upper_tail("z"))
 
 
 def exact_upper_tail(ranks2: str, w2: str) -> Column:
     """P(doubled W+ >= w2) when every rank takes either sign with equal chance.
 
-    Counts, for every sum, the sign choices that reach it: adding a rank shifts the counts by it.
-    Doubled average ranks are integers, so ties are exact. Lists hold at most some tens of ranks.
+    Holds the chance of every sum: a rank shifts them by itself or leaves them, each with half the weight, so
+    nothing outgrows a double. Doubled average ranks are integers, so ties are exact.
     """
-    none = f"array_repeat(0L, CAST(size({ranks2}) * (size({ranks2}) + 1) AS INT))"
-    ways = f"""aggregate({ranks2}, concat(array(1L), {none}), (ways, r) ->
-        transform(ways, (n, i) -> n + CASE WHEN i >= r THEN get(ways, i - r) ELSE 0L END))"""
-    reached = f"aggregate(slice({ways}, {w2} + 1, size({ranks2}) * (size({ranks2}) + 1) + 1), 0L, (total, n) -> total + n)"
-    return F.expr(f"CAST({reached} AS DOUBLE) / pow(2D, size({ranks2}))")
+    none = f"array_repeat(0D, CAST(size({ranks2}) * (size({ranks2}) + 1) AS INT))"
+    chances = f"""aggregate({ranks2}, concat(array(1D), {none}), (ways, r) ->
+        transform(ways, (p, i) -> (p + CASE WHEN i >= r THEN get(ways, i - r) ELSE 0D END) / 2D))"""
+    return F.expr(f"aggregate(slice({chances}, {w2} + 1, size({ranks2}) * (size({ranks2}) + 1) + 1), 0D, (total, p) -> total + p)")

@@ -13,7 +13,6 @@ from trialstats.plans.running import (
     CHUNK,
     attach_to_groups,
     carried_totals,
-    few_rows,
     join_null_safe,
     stored_in_ranges,
 )
@@ -33,18 +32,17 @@ def value_counts(df: DataFrame, value: str, group_cols: Sequence[str] = ()) -> D
 
 @dataclass(frozen=True)
 class _Histogram:
-    """A stored histogram, its stored totals per group and chunk, and whether these are few."""
+    """A stored histogram, its stored totals per group and chunk."""
 
     rows: DataFrame
     chunks: DataFrame
-    few: bool
 
 
 def _stored(df: DataFrame, value: str, keys: Sequence[str]) -> _Histogram:
     rows = stored_in_ranges(value_counts(df.withColumn(ALL, F.lit(0)), value, keys), keys, value)
     weighted = rows.withColumn("_weighted", F.col(value) * F.col("n"))
     chunks = stored_table(carried_totals(weighted, keys, ["n", "_weighted"]))
-    return _Histogram(rows, chunks, few_rows(chunks))
+    return _Histogram(rows, chunks)
 
 
 def _stored_quantiles(
@@ -61,7 +59,7 @@ def _stored_quantiles(
     first, end = F.col("n_carried"), F.col("n_carried") + F.col("n_chunk")
     holds = reduce(lambda a, b: a | b, [(F.floor(place(p)) < end) & (F.ceil(place(p)) >= first) for p in probs])
     chunks = stored.chunks.filter(holds).select(*keys, CHUNK, "n_carried", "n_total")
-    near = join_null_safe(stored.rows, F.broadcast(chunks) if stored.few else chunks, [*keys, CHUNK])
+    near = join_null_safe(stored.rows, chunks, [*keys, CHUNK])
     inside = Window.partitionBy(*keys, CHUNK).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     counted = near.withColumn("_before", F.col("n_carried") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
 
@@ -125,7 +123,7 @@ def dispersion(df: DataFrame, value: str, group_cols: Sequence[str] = (), few_va
     means = stored.chunks.groupBy(*keys).agg((F.sum("_weighted_chunk") / F.sum("n_chunk")).alias("mean"))
     # Deviations from the mean in a second step: the difference of two large sums would lose digits.
     moments = (
-        attach_to_groups(stored.rows, means, keys, value, stored.few)
+        attach_to_groups(stored.rows, means, keys, value)
         .groupBy(*keys, "mean")
         .agg(
             F.sum("n").alias("n_values"),
@@ -144,7 +142,7 @@ def box_plot(df: DataFrame, value: str, group: str) -> DataFrame:
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - fence, F.col("q3") + fence)
     return (
-        attach_to_groups(stored.rows, quartiles, [group], value, stored.few)
+        attach_to_groups(stored.rows, quartiles, [group], value)
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),

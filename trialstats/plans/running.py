@@ -18,9 +18,6 @@ from trialstats.session import stored_table
 
 CHUNK = "_chunk"
 
-# A table of no more counted rows than this may be broadcast: some tens of megabytes at most.
-BROADCAST_ROWS = 100_000
-
 
 def stored_in_ranges(
     histogram: DataFrame, group_cols: Sequence[str], value_col: str, chunks: int | None = None
@@ -89,23 +86,15 @@ def running_totals(
     return totals_in_ranges(ranged, group_cols, value_col, sum_cols)
 
 
-def few_rows(stored: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Is a stored table small enough to broadcast: counted, not estimated."""
-    return stored.count() <= limit
-
-
 def attach_to_groups(
-    rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread_by: str, few: bool, salts: int = 32
+    rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread_by: str, salts: int = 32
 ) -> DataFrame:
     """Give every row the values of its group; ``per_group`` holds one row per group.
 
-    Where there are few groups, as checked with ``few_rows``, they are broadcast. Otherwise each group
-    is dealt over ``salts`` join keys, so that one with most of the rows is split: ``per_group`` is
+    Each group is dealt over ``salts`` join keys, so that one with most of the rows is split: ``per_group`` is
     repeated per salt, and ``spread_by`` is the column whose hash deals the rows, one with many distinct
-    values inside a group.
+    values inside a group. Spark may still broadcast ``per_group`` where its bytes allow it.
     """
-    if few:
-        return join_null_safe(rows, F.broadcast(per_group), keys)
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     return join_null_safe(dealt, per_group.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")

@@ -12,6 +12,9 @@ from trialstats.schema import TASK_SCHEMA, TRIAL_SCHEMA
 from trialstats.session import cut_lineage
 from trialstats.sources.paths import first_matching
 
+# A header line, and a quote in a quoted text is doubled.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
 CORRUPT = "_corrupt_record"
 SOURCE_FILE = "source_file"
 
@@ -23,8 +26,11 @@ ID_COLUMNS = ("instance_id", "task_id", "id", "index")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRIAL_SCHEMA) -> DataFrame:
-    """CSV with a header line: one file, a folder or a glob, in a single scan."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header line: one file, a folder or a glob, in a single scan. Texts may hold quotes and line breaks.
+
+    A header of other names, or in another order, is an error: columns are never taken by position.
+    """
+    return spark.read.schema(schema).options(**CSV).options(multiLine=True, enforceSchema=False).csv(path)
 
 
 def texts_to_null(df: DataFrame, texts: Sequence[str] = NULL_TEXTS) -> DataFrame:
@@ -79,7 +85,7 @@ def _parsed_shards(
         raise FileNotFoundError(f"no outcome shards match any of {names}")
     rows = (
         spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("header", True)
+        .options(**CSV)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(pattern)
@@ -117,25 +123,14 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def dealt_out(df: DataFrame, *keys: str, at_least: int = 2 << 20, per_core: int = 16 << 20) -> DataFrame:
-    """Deal the rows of a small scan over all cores, by ``keys``; larger scans are left as they are.
-
-    A Parquet file with one row group is read by one task, whatever its size. Below ``per_core`` bytes
-    per core, moving the rows costs less than leaving the other cores idle; a scan beyond that has
-    enough row groups of its own.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, *keys) if at_least <= size < per_core * cores else df
-
-
 def read_parquet_tree(spark: SparkSession, root: str, excluded: Sequence[str] = ("env",)) -> DataFrame:
     """Parquet files anywhere under ``root``, less those with an excluded text in their folder path.
 
     A single-hit search would depend on the listing order; this reads every hit.
     """
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
-    below = F.lower(F.substring_index(F.col("_metadata.file_path"), root.rstrip("/"), -1))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = F.lower(F.substring_index(path, root.rstrip("/"), -1))
     keep = F.lit(True)
     for text in excluded:
         keep = keep & ~F.contains(below, F.lit(text.lower()))
@@ -153,18 +148,15 @@ _TASK_READERS = {
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON task file in any of its three forms, told apart by how it starts."""
-    head = [row.value.strip() for row in spark.read.text(path).filter("trim(value) <> ''").take(2)]
-    if not head:
+    # A line may be a whole document: only its first character and whether it holds an id come back.
+    line = F.ltrim("value")
+    has_id = F.coalesce(*[F.get_json_object(line, f"$.{name}") for name in ID_COLUMNS]).isNotNull()
+    head = spark.read.text(path).filter("trim(value) <> ''").select(F.substring(line, 1, 1).alias("start"), has_id.alias("has_id")).first()
+    if head is None:
         raise ValueError(f"{path} is empty")
-    if head[0].startswith("["):
+    if head.start == "[":
         return read_json_array(spark, path)
-    line_is_task = (
-        spark.range(1)
-        .select(F.get_json_object(F.lit(head[0]), f"$.{TASK_SCHEMA.fieldNames()[0]}").isNotNull().alias("ok"))
-        .first()
-        .ok
-    )
-    return read_json_lines(spark, path) if line_is_task else read_json_keyed(spark, path)
+    return read_json_lines(spark, path) if head.has_id else read_json_keyed(spark, path)
 
 
 def read_tasks(spark: SparkSession, sources: Sequence[tuple[str, str]]) -> DataFrame:

@@ -12,14 +12,18 @@ from trialstats.schema import TRIAL_KEY, TRIAL_SCHEMA
 from trialstats.sources.paths import matching
 
 
+# As ``readers.CSV`` reads it.
+CSV_OUT = {"header": True, "quote": '"', "escape": '"'}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV files with a header line, one per partition of ``df``."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV_OUT).csv(path)
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A report of a few rows as a single CSV file. Result tables go through ``write_csv``."""
-    report.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    report.coalesce(1).write.mode(mode).options(**CSV_OUT).csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("shard", "sample_index")) -> None:
@@ -53,8 +57,8 @@ def remaining_trials(planned: DataFrame, written: DataFrame, keys: Sequence[str]
 
 
 def written_results(spark: SparkSession, path: str) -> DataFrame:
-    """Results appended so far; an empty table where nothing was written yet."""
-    if matching(spark, f"{path}/*.parquet"):
+    """Results appended so far, in one folder or by shard and run; an empty table where nothing was written yet."""
+    if any(matching(spark, f"{path}/{below}*.parquet") for below in ("", "*=*/", "*=*/*=*/")):
         return spark.read.schema(TRIAL_SCHEMA).parquet(path)
     return spark.createDataFrame([], TRIAL_SCHEMA)
 

@@ -14,13 +14,14 @@ from trialstats.operators.rates import f2p_by_run
 from trialstats.operators.tables import one_per_key
 from trialstats.schema import TRIAL_KEY, TRIAL_SCHEMA
 from trialstats.sources.paths import matching
+from trialstats.sources.readers import CSV
 
 
 def shard_stream(
     spark: SparkSession, folder: str, schema: T.StructType = TRIAL_SCHEMA, max_files: int | None = None
 ) -> DataFrame:
     """CSV outcome shards of a folder as a stream; ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema).option("header", True)
+    reader = spark.readStream.schema(schema).options(**CSV)
     return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).csv(folder)
 
 
