@@ -56,6 +56,22 @@ def test_bad_shard_is_reported_and_the_rest_kept(spark, shards):
     assert ("new04.csv", "c,one,fail,pass") in rows(bad)
 
 
+def test_columns_go_by_name(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "k1.csv").write_text(HEADER + "a,1,fail,pass\n")
+    (folder / "k2.csv").write_text('final_state,"task_id",initial_state,sample_index\npass,b,fail,2\n')
+    (folder / "k3.csv").write_text("task_id,cost,sample_index,final_state\nc,0.5,3,fail\nc,0.5,x,fail\n")
+    (folder / "k4.csv").write_text("w,x,y,z\nd,4,fail,pass\n")
+    (folder / "k5.csv").write_text("")
+    (folder / "k6.csv").write_text("task_id,task_id,initial_state,final_state\ne,5,fail,pass\n")
+    assert rows(readers.read_shards(spark, f"{folder}/k*.csv")) == [("a", 1, "fail", "pass"), ("b", 2, "fail", "pass"), ("c", 3, None, "fail")]
+    assert readers.read_shards(spark, f"{folder}/k*.csv").count() == 3
+    bad = rows(readers.rejected_lines(spark, f"{folder}/k*.csv"))
+    assert bad == [("k3.csv", "c,0.5,x,fail"), ("k4.csv", "d,4,fail,pass"), ("k6.csv", "e,5,fail,pass")]
+    assert readers.rejected_lines(spark, f"{folder}/k*.csv").count() == 3
+
+
 def test_null_texts(spark, tmp_path):
     (tmp_path / "s.csv").write_text(HEADER + "a,1,NA,null\nb,2,fail,None\nc,3,,pass\n")
     trials = readers.texts_to_null(readers.read_csv(spark, f"{tmp_path}/s.csv"))

@@ -3,10 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
 
+# Bytes that a header line may have, and files opened at once.
+HEADER_BYTES = 1 << 16
+OPENED = 16
+
+
+def base_name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def first_lines(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, str]]:
+    """Each file, and its first line that is not empty, of at most ``HEADER_BYTES``; ``files`` are URIs."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first_line(uri: str) -> tuple[str, str]:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(uri))
+        opened = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs.getCodec(path)
+            plain = opened if codec is None else codec.createInputStream(opened)
+            bounded = jvm.org.apache.commons.io.input.BoundedInputStream(plain, HEADER_BYTES)
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(bounded, "UTF-8"))
+            line = lines.readLine()
+            while line is not None and not line.strip():
+                line = lines.readLine()
+            return uri, line or ""
+        finally:
+            opened.close()
+
+    with ThreadPoolExecutor(OPENED) as pool:
+        return list(pool.map(first_line, files))
+
+
 def matching(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob pattern, in name order; empty where there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -21,6 +55,6 @@ def first_matching(spark: SparkSession, patterns: Sequence[str], ignored: Sequen
     """
     dropped = set(ignored)
     for pattern in patterns:
-        if any(path.rsplit("/", 1)[-1] not in dropped for path in matching(spark, pattern)):
+        if any(base_name(path) not in dropped for path in matching(spark, pattern)):
             return pattern
     return None

@@ -1,8 +1,11 @@
-"""Readers with declared schemas. Each is one lazy scan, however many files it covers."""
+"""Readers with declared schemas. Each is one lazy scan, however many files it covers (shards: one per header)."""
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 
 from trialstats.schema import TASK_SCHEMA, TRIAL_SCHEMA
 from trialstats.session import cut_lineage
-from trialstats.sources.paths import first_matching
+from trialstats.sources.paths import base_name, first_lines, first_matching
 
 # A header line, and a quote in a quoted text is doubled.
 CSV = {"header": True, "quote": '"', "escape": '"'}
@@ -53,7 +56,9 @@ def read_shards(
 ) -> DataFrame:
     """Outcome shards of the first pattern that has files, less the files ignored by base name.
 
-    Duplicates are kept. Lines that do not fit the schema are dropped here; ``rejected_lines`` shows them.
+    Columns are matched by the names in each file's header: their order is free, missing ones are null, others are
+    left out. Duplicates are kept. Lines that do not fit the schema, and all lines of a file that has none of its
+    columns, are dropped here; ``rejected_lines`` shows them.
     """
     parsed = _parsed_shards(spark, patterns, ignored, schema)
     return parsed.filter(F.col(CORRUPT).isNull() & _reads_all(schema)).select(*schema.fieldNames())
@@ -83,17 +88,46 @@ def _parsed_shards(
     pattern = first_matching(spark, names, ignored)
     if pattern is None:
         raise FileNotFoundError(f"no outcome shards match any of {names}")
-    rows = (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
-        .options(**CSV)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(pattern)
-        .select("*", F.col("_metadata.file_name").alias(SOURCE_FILE))
-    )
+    groups = _by_header(spark, pattern, ignored)
+    parts = [_shards_of_header(spark, pattern, header, schema, files if len(groups) > 1 else None) for header, files in groups.items()]
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.filter(~F.col(SOURCE_FILE).isin(*ignored)) if ignored else rows
 
 
+def _by_header(spark: SparkSession, pattern: str, ignored: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the names in their header line; only that line of a file is read here."""
+    files = sorted(path for path in spark.read.text(pattern).inputFiles() if base_name(path) not in set(ignored))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, line in first_lines(spark, files):
+        header = tuple(name.strip() for name in next(csv.reader([line.lstrip("\ufeff")]), []))
+        groups.setdefault(header, []).append(path)
+    return groups
+
+
+def _shards_of_header(
+    spark: SparkSession, pattern: str, header: tuple[str, ...], schema: T.StructType, files: list[str] | None
+) -> DataFrame:
+    """``schema``, the text of a line that does not fit, and its file; of the files of one header, or of all."""
+    types = {f.name: f.dataType for f in schema.fields}
+    named = [name for name in schema.fieldNames() if name in header]
+    if not named or len(set(header)) < len(header):
+        # No outcome shard, or one whose columns cannot be told apart: every line is a reject.
+        own, text, options = [], "line", {"header": True, "sep": "\u0001", "quote": ""}
+    else:
+        text = CORRUPT
+        own, options = [T.StructField(name, types.get(name, T.StringType())) for name in header], CSV
+    rows = spark.read.schema(T.StructType([*own, T.StructField(text, T.StringType())])).options(**options)
+    if own:
+        rows = rows.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    rows = rows.csv(pattern)
+    if files is not None:  # prunes the scan to these files
+        # A local file is written file:///a or file:/a, depending on who writes it.
+        forms = {form for path in files for form in (path, re.sub("^file:/+", "file:/", path))}
+        rows = rows.filter(F.col("_metadata.file_path").isin(*sorted(forms)))
+    columns = [F.col(f"`{f.name}`") if f.name in named and own else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return rows.select(*columns, F.col(text).alias(CORRUPT), F.col("_metadata.file_name").alias(SOURCE_FILE))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = TASK_SCHEMA) -> DataFrame:
     """One JSON object per line: splits freely, so the form to prefer for large task sets."""
     return spark.read.schema(schema).json(path)
