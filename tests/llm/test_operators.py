@@ -270,6 +270,19 @@ def test_lines(spark):
     assert line_dedup.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_common_lines_go_at_every_count(spark):
+    header = [f"{prose(40, 6)} one", f"{prose(41, 6)} two", f"{prose(42, 6)} three"]
+    notice = prose(43, 20)
+    rows = [(k, "\n".join([*header, prose(100 + k, 30), notice, prose(400 + k, 30)])) for k in range(40)]
+    # A rare pair beside the common lines does not hide them.
+    rows += [(90, f"{prose(500, 30)}\n{prose(501, 30)}"), (91, f"{prose(501, 30)}\n{prose(502, 30)}\n{notice}")]
+    for rare in (4, 64):
+        got = {r.doc_id: r for r in line_dedup.repeated_lines(documents(spark, rows), rare=rare).collect()}
+        assert got[0].cut == [] and got[90].cut == []
+        assert all((got[k].cut, got[k].refs) == ([0, 1, 2, 4], [0]) for k in range(1, 40))
+        assert (got[91].cut, got[91].refs) == ([0, 2], [0, 90])
+
+
 def test_patience():
     assert line_dedup.patience("abcde", "abxde") == [(0, 0), (1, 1), (3, 3), (4, 4)]
     assert line_dedup.patience("", "a") == [] and line_dedup.rising([3, 1, 2, 5, 4]) == [1, 2, 4]

@@ -2,8 +2,9 @@
 
 Each shared line leads from a document to the first that holds the line, so the pairs grow with the lines and not
 with the square of a group. A line counts as rare if few documents hold it, or if it is about as rare as
-any that its document shares: copies that come in thousands are found by their own lines, while a notice that
-a third of all documents carry does not pair them. A pair is aligned by patience diff: lines that
+any that its document shares: copies that come in thousands are found by their own lines. What the rare lines
+leave is found by the common ones: those that no alignment has covered lead to their first document as well, so
+a notice goes from a third of all documents as it goes from three. A pair is aligned by patience diff: lines that
 occur once in either are matched by a longest increasing run, and what lies between is aligned in turn.
 """
 
@@ -108,6 +109,14 @@ def _align(least: int):
     return run
 
 
+def _aligned(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """``row_no, ref_id, cut`` of the pairs that have a common block."""
+    pairs = pairs.join(rows.select("row_no", F.col("lines").alias("later"), "chars"), "row_no")
+    pairs = pairs.join(rows.select(F.col("row_no").alias("ref_no"), F.col("lines").alias("earlier")), "ref_no")
+    pairs = pairs.select("row_no", "ref_id", "later", "earlier", "chars")
+    return stored_table(pairs.mapInPandas(_align(least), "row_no bigint, ref_id bigint, cut array<int>").filter("size(cut) > 0"))
+
+
 def repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = BLOCK_CHARS
 ) -> DataFrame:
@@ -134,15 +143,17 @@ def repeated_lines(
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no"))
     counts = held.groupBy("line").agg(F.count("*").alias("n"), first.alias("_f")).filter("n > 1")
     shared = stored_table(counts.select("line", "n", F.col("_f.row_no").alias("ref_no"), F.col("_f.doc_id").alias("ref_id")))
-    links = stored_table(held.join(shared, "line").filter("row_no <> ref_no").select("row_no", "ref_no", "ref_id", "n"))
+    links = stored_table(held.join(shared, "line").filter("row_no <> ref_no").select("row_no", "ref_no", "ref_id", "line", "n"))
     rarest = stored_table(links.groupBy("row_no").agg(F.min("n").alias("least")))
-    pairs = links.join(rarest, "row_no").filter(F.col("n") <= F.greatest(F.lit(rare), 2 * F.col("least")))
-    pairs = stored_table(pairs.select("row_no", "ref_no", "ref_id").distinct())
-
-    pairs = pairs.join(rows.select("row_no", F.col("lines").alias("later"), "chars"), "row_no")
-    pairs = pairs.join(rows.select(F.col("row_no").alias("ref_no"), F.col("lines").alias("earlier")), "ref_no")
-    cuts = pairs.select("row_no", "ref_id", "later", "earlier", "chars").mapInPandas(_align(least), "row_no bigint, ref_id bigint, cut array<int>")
-    cuts = stored_table(cuts.filter("size(cut) > 0"))
+    is_rare = F.col("n") <= F.greatest(F.lit(rare), 2 * F.col("least"))
+    links = stored_table(links.join(rarest, "row_no").select("row_no", "ref_no", "ref_id", "line", is_rare.alias("is_rare")))
+    by_rare = stored_table(links.filter("is_rare").select("row_no", "ref_no", "ref_id").distinct())
+    cuts = _aligned(by_rare, rows, least)
+    # Common lines that still stand, each once more for what no rare line has led to.
+    gone = rows.join(cuts, "row_no").select("row_no", F.explode(F.transform("cut", lambda i: F.element_at("lines", i + 1))).alias("line"))
+    rest = links.filter("NOT is_rare").join(stored_table(gone.distinct()), ["row_no", "line"], "left_anti")
+    rest = rest.select("row_no", "ref_no", "ref_id").distinct().join(by_rare, ["row_no", "ref_no"], "left_anti")
+    cuts = cuts.unionByName(_aligned(stored_table(rest), rows, least))
     # What one text may hold meets in one group.
     cuts = cuts.groupBy("row_no").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"), F.array_sort(F.collect_set("ref_id")).alias("refs")
