@@ -305,6 +305,31 @@ def test_passages(spark):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_around_a_foreign_middle(spark):
+    head, foot = prose(1, 60), prose(2, 60)
+    rows = [(1, f"{head} {prose(3, 100)} {foot}"), (2, f"{head} {prose(4, 100)} {foot}"), (3, f"{head} {foot}")]
+    long = prose(5, 1000).split()
+    rows += [(11, " ".join(long)), (12, " ".join([*long[:350], prose(6, 300), *long[650:]]))]
+    got = sorted((r.doc_id, r.from_word, r.to_word, r.ref_id, r.ref_from, r.ref_to) for r in passages.repeated_passages(documents(spark, rows)).collect())
+    assert got == [
+        (2, 0, 60, 1, 0, 60), (2, 160, 220, 1, 160, 220), (3, 0, 60, 1, 0, 60), (3, 60, 120, 1, 160, 220),
+        (12, 0, 350, 11, 0, 350), (12, 650, 1000, 11, 650, 1000),
+    ]
+
+
+def test_edits_and_longest_stretch():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = rng.integers(0, 4, rng.integers(0, 30)), rng.integers(0, 4, rng.integers(0, 30))
+        path = passages.edits(a, b)
+        assert (path != passages.ONLY_B).sum() == len(a) and (path != passages.ONLY_A).sum() == len(b)
+        if len(a) and len(b) and not (len(a) == len(b) and (a == b).mean() >= passages.IDENTITY):
+            assert (path != passages.SAME).sum() == passages.edit_distance(a, b, 30)
+        worth = rng.integers(-4, 2, 25)
+        s, e = passages._longest(worth)
+        assert e - s == max((j - i for i in range(26) for j in range(i, 26) if worth[i:j].sum() >= 0), default=0)
+
+
 def test_chains_against_all_predecessors():
     rng = np.random.default_rng(7)
     for _ in range(20):
