@@ -317,6 +317,15 @@ def test_passages_around_a_foreign_middle(spark):
     ]
 
 
+def test_passages_whose_seeds_all_lead_elsewhere(spark):
+    shared = prose(1, 54).split()
+    # Earlier documents hold all seeds of the passage, each of them in a fragment that is too short to count.
+    rows = [(k, f"{prose(100 + k, 20)} {' '.join(shared[s : s + 18])} {prose(200 + k, 20)}") for k, s in enumerate(range(0, 37, 4))]
+    rows += [(50, f"{prose(300, 30)} {' '.join(shared)} {prose(301, 30)}"), (51, f"{prose(302, 10)} {' '.join(shared)} {prose(303, 10)}")]
+    got = [(r.doc_id, r.from_word, r.to_word, r.ref_id, r.ref_from, r.identity) for r in passages.repeated_passages(documents(spark, rows)).collect()]
+    assert got == [(51, 10, 64, 50, 30, 1.0)]
+
+
 def test_edits_and_longest_stretch():
     rng = np.random.default_rng(3)
     for _ in range(50):
