@@ -256,6 +256,17 @@ def test_entropy_and_checksums(spark):
     assert row.scores == pytest.approx([1.0, 0.7])
 
 
+def test_ibans_before_short_words(spark):
+    texts = [
+        "IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "ES9121000418450200051332 EUR", "BE68 5390 0754 7034 BIC",
+        "BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00 EUR", "ES92 2100 0418 4502 0005 1332 BIC",
+    ]
+    got = [r.found for r in personal_data.personal_data(documents(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    es = "ES91 2100 0418 4502 0005 1332"
+    want = [[es], ["ES9121000418450200051332"], ["BE68 5390 0754 7034"], ["BE68 5390 0754 7034", es], ["DE89 3704 0044 0532 0130 00"], []]
+    assert [[s.match for s in found if s.kind == "iban"] for found in got] == want
+
+
 def test_lines(spark):
     block, notice = [prose(k, 12) for k in range(6)], "All rights reserved, whatever they are, by whoever holds them, for good."
     rows = [(1, "\n".join([prose(20, 9), *block, prose(21, 9)])), (2, "\n".join([prose(22, 9), *block[:3], "", *block[3:], prose(23, 9)]))]
@@ -288,6 +299,15 @@ def test_patience():
     assert line_dedup.patience("", "a") == [] and line_dedup.rising([3, 1, 2, 5, 4]) == [1, 2, 4]
 
 
+def test_a_notice_that_stands_twice(spark):
+    notice = prose(43, 20)
+    other = [f"{prose(600 + k, 5)}" for k in range(12)]
+    rows = [(1, "\n".join([other[0], notice, other[1], notice, other[2]])), (2, "\n".join([other[3], notice, other[4], notice, other[5]])), (3, "\n".join([other[6], notice, other[7]]))]
+    got = {r.doc_id: r.cut for r in line_dedup.repeated_lines(documents(spark, rows)).collect()}
+    assert got == {1: [], 2: [1, 3], 3: [1]}
+    assert line_dedup.patience("xnynz", "anbnc") == [(1, 1), (3, 3)]
+
+
 def test_passages(spark):
     shared = prose(1, 80).split()
     changed = list(shared)

@@ -5,7 +5,8 @@ with the square of a group. A line counts as rare if few documents hold it, or i
 any that its document shares: copies that come in thousands are found by their own lines. What the rare lines
 leave is found by the common ones: those that no alignment has covered lead to their first document as well, so
 a notice goes from a third of all documents as it goes from three. A pair is aligned by patience diff: lines that
-occur once in either are matched by a longest increasing run, and what lies between is aligned in turn.
+occur once in either are matched by a longest increasing run, and what lies between is aligned in turn; where no line
+occurs once in both, its first meets the first, its second the second.
 """
 
 from __future__ import annotations
@@ -55,6 +56,15 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _numbered(lines) -> list[tuple]:
+    seen: Counter = Counter()
+    out = []
+    for v in lines:
+        out.append((v, seen[v]))
+        seen[v] += 1
+    return out
+
+
 def patience(a, b) -> list[tuple[int, int]]:
     """Aligned places of two sequences, in order."""
     found, todo = [], [(0, len(a), 0, len(b))]
@@ -71,6 +81,9 @@ def patience(a, b) -> list[tuple[int, int]]:
         here, there = Counter(a[i:ii]), Counter(b[j:jj])
         place = {v: j + k for k, v in enumerate(b[j:jj]) if there[v] == 1}
         once = [(i + k, place[v]) for k, v in enumerate(a[i:ii]) if here[v] == 1 and v in place]
+        if not once:  # the k-th of a line here meets the k-th there
+            place = {v: j + k for k, v in enumerate(_numbered(b[j:jj]))}
+            once = [(i + k, place[v]) for k, v in enumerate(_numbered(a[i:ii])) if v in place]
         anchors = [once[k] for k in rising([y for _, y in once])]
         if not anchors:
             continue

@@ -16,6 +16,22 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+# Characters of an account number, by country, as the register of IBANs has them.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _of_length(n: int, countries: str) -> str:
+    tail = rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{tail}"
+
+
+# What follows a number of its country's length is no part of it, even where it could be read on.
+NATIONAL_IBAN = rf"(?<![A-Za-z0-9])(?:{'|'.join(_of_length(n, c) for n, c in LENGTHS.items())})(?![A-Za-z0-9])"
 
 # Words that speak for a kind when they stand near it, in the languages of the corpus.
 CONTEXT = {
@@ -57,13 +73,21 @@ def small_parts(ip: Column) -> Column:
     return F.forall(parts, lambda p: (F.char_length(p) <= 3) & (F.substring(p, 1, 3).cast("int") <= 255))
 
 
+def ibans(text: Column) -> Column:
+    """Numbers of their country's length, and others that pass mod 97 and overlap none of these."""
+    national = spans(text, NATIONAL_IBAN, "iban", 4, mod_97)
+    other = spans(text, IBAN, "iban", 4, mod_97)
+    apart = F.filter(other, lambda o: ~F.exists(national, lambda n: (n["start"] < o["end"]) & (o["start"] < n["end"])))
+    return F.concat(national, apart)
+
+
 def proposals(text: Column) -> list[Column]:
     return [
         spans(text, EMAIL, "email", 0),
         spans(text, IP, "ip", 1, small_parts),
         spans(text, CARD, "card", 2, lambda m: luhn(digits(m))),
         spans(text, PHONE, "phone", 3, lambda m: F.char_length(digits(m)).between(10, 15)),
-        spans(text, IBAN, "iban", 4, mod_97),
+        ibans(text),
     ]
 
 
