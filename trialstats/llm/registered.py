@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialstats.llm import personal_data, secret_scan
+from trialstats.llm.bpe import round_trip
 from trialstats.llm.decontaminate import contamination
 from trialstats.llm.exact_dedup import exact_groups
 from trialstats.llm.line_dedup import repeated_lines
@@ -105,6 +107,11 @@ def op7(spark, sf_dir):
     return personal_data.report(personal_data.personal_data(table(spark, sf_dir, "documents")))
 
 
+@query("op12_bpe")
+def op12(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op2_passages")
 def op2(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
