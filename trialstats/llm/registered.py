@@ -18,6 +18,7 @@ from trialstats.llm.passages import repeated_passages
 from trialstats.llm.quality import judge
 from trialstats.llm.simhash import fingerprint_hex, simhash_groups
 from trialstats.llm.url_filter import filtered, host_of, path_of
+from trialstats.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,6 +108,12 @@ def op7(spark, sf_dir):
     return personal_data.report(personal_data.personal_data(table(spark, sf_dir, "documents")))
 
 
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    rows = whitened(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 @query("op12_bpe")
 def op12(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
