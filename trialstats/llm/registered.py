@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialstats.llm import personal_data, secret_scan
 from trialstats.llm.bpe import round_trip
+from trialstats.llm.conversations import damaged, report
 from trialstats.llm.decontaminate import contamination
 from trialstats.llm.exact_dedup import exact_groups
 from trialstats.llm.line_dedup import repeated_lines
@@ -119,6 +120,12 @@ def op12(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op13_conversations")
+def op13(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return report(conversations, damaged(conversations))
+
+
 @query("op2_passages")
 def op2(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
