@@ -75,21 +75,21 @@ class Coder:
         self.model = self.library.model
         tokens = self.library.get_vocab(with_added_tokens=True)
         self.token = {i: t for t, i in tokens.items()}
+        #: Ids between tasks, two bytes each where that holds them.
+        self.packed = np.uint16 if max(self.token, default=0) < 1 << 16 else np.int32
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         #: How far the library looks ahead for the end of a word or of an added token.
         self.reach = max([4, *map(len, added)])
         self._added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
-        self._plain, self._word = self._alphabet(json.loads(vocabulary))
+        form = json.loads(vocabulary)
+        form = json.dumps([form.get("normalizer"), form.get("pre_tokenizer")])
+        #: Whether words end at blanks and blanks are dropped, so that no token reaches over one.
+        self.blanks_part = hashlib.sha256(form.encode()).hexdigest() == _WORD_FORM
+        self._plain, self._word = self._alphabet() if self.blanks_part else (re.compile(r"(?!)"), re.compile(r"(?!)"))
         self._seen: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
-    def _alphabet(self, file: dict) -> tuple[re.Pattern, re.Pattern]:
-        """Texts of plain characters, and their words, by asking the library about each character.
-
-        Only the vocabulary that the words below are written for gets a plain alphabet; all texts of others go to the library.
-        """
-        form = json.dumps([file.get("normalizer"), file.get("pre_tokenizer")])
-        if hashlib.sha256(form.encode()).hexdigest() != _WORD_FORM:
-            return re.compile(r"(?!)"), re.compile(r"(?!)")
+    def _alphabet(self) -> tuple[re.Pattern, re.Pattern]:
+        """Texts of plain characters, and their words, by asking the library about each character."""
         split, lower = self.library.pre_tokenizer.pre_tokenize_str, self.library.normalizer.normalize_str
         letters, others, odd = [], [], []
         for c in map(chr, range(_PLAIN_END)):
@@ -113,7 +113,7 @@ class Coder:
         if self._plain.fullmatch(text) and not self._added.search(text):
             return self._looked_up(self._word.findall(text.lower()), self._word_ids)
         # No word, added token or composed character reaches over a blank.
-        return self._looked_up(_CHUNK.findall(text), self._library_ids)
+        return self._looked_up(_CHUNK.findall(text) if self.blanks_part else [text], self._library_ids)
 
     def _looked_up(self, words: list[str], encode: Callable[[str], list[int]]) -> list[tuple[tuple[int, ...], str, str]]:
         out = []
@@ -197,41 +197,53 @@ def _shared(left: Piece, right: Piece, least: int, most: int) -> tuple[int, int]
     return None
 
 
-def joined(encode: Callable[[str, int], Piece], reach: int, text: str, ends: tuple[int, int, int], left: Piece, right: Piece, window: int = WINDOW) -> Piece:
-    """The encoding of ``text[a:c]`` from those of ``text[a:cut]`` and ``text[cut:c]``; ``ends`` are a, cut and c."""
+def _tail(coder: Coder, text: str, a: int, cut: int, window: int) -> Piece:
+    """The last tokens of ``text[a:cut]``, from a blank on that is ``window`` before the cut; all where no blank is."""
+    blank = max(text.rfind(" ", a, max(cut - window, a)), text.rfind("\n", a, max(cut - window, a))) if coder.blanks_part else -1
+    low = a if blank < 0 else blank
+    return coder.piece(text[low:cut], low)
+
+
+def _head(coder: Coder, text: str, cut: int, c: int, window: int) -> Piece:
+    """The first tokens of ``text[cut:c]``, up to a blank that is ``window`` behind the cut; all where no blank is."""
+    blanks = [x for x in (text.find(" ", cut + window, c), text.find("\n", cut + window, c)) if x >= 0] if coder.blanks_part else []
+    high = min(blanks, default=c)
+    return coder.piece(text[cut:high], cut)
+
+
+def joined(coder: Coder, text: str, ends: tuple[int, int, int], left: np.ndarray, right: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The ids of ``text[a:c]`` from those of ``text[a:cut]`` and ``text[cut:c]``; ``ends`` are a, cut and c.
+
+    Where the tokens next to the cut lie in the text is found by encoding their side of it again, from or to a blank.
+    """
     a, cut, c = ends
     while True:
-        before = left.start[left.clean() & (left.start <= cut - window)][::-1]
+        tail, head = _tail(coder, text, a, cut, 2 * window), _head(coder, text, cut, c, 2 * window)
+        before = tail.start[tail.clean() & (tail.start <= cut - window)][::-1]
         low = next((int(s) for s in before if starts_afresh(text[s])), a)
-        after = right.end[right.clean() & (right.end >= cut + window)]
+        after = head.end[head.clean() & (head.end >= cut + window)]
         high = next((int(e) for e in after if e == c or starts_afresh(text[e])), c)
-        middle = encode(text[low:high], low)
+        between = coder.piece(text[low:high], low)
         # At an end of the piece itself nothing has to agree.
-        first = (-1, -1) if low == a else _shared(left, middle, low, cut - reach)
-        last = (len(middle.ids), len(right.ids)) if high == c else _shared(middle, right, cut + reach, high - reach)
+        first = (-1, -1) if low == a else _shared(tail, between, low, cut - coder.reach)
+        last = (len(between.ids), len(head.ids)) if high == c else _shared(between, head, cut + coder.reach, high - coder.reach)
         if first is not None and last is not None:
-            i, p = first
-            q, j = last
-            parts = [(x[: i + 1], y[p + 1 : q], z[j:]) for x, y, z in zip(_columns(left), _columns(middle), _columns(right), strict=True)]
-            return Piece(*[np.concatenate(x) for x in parts])
+            (i, p), (q, j) = first, last
+            kept = left[: len(left) - len(tail.ids) + i + 1] if low > a else left[:0]
+            rest = right[j:] if high < c else right[:0]
+            return np.concatenate([kept, between.ids[p + 1 : q], rest])
         window *= 2
 
 
-def _columns(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return piece.ids, piece.start, piece.end
-
-
-def concatenated(encode: Callable[[str, int], Piece], reach: int, text: str, pieces: list[Piece], ends: list[tuple[int, int]], window: int = WINDOW) -> Piece:
-    """All leaves of a text joined up the tree that cut it."""
-    held: list[tuple[int, int, Piece]] = []
-    cuts = _depths(text, ends)
-    for (a, b), piece, depth in zip(ends, pieces, cuts, strict=True):
-        held.append((a, depth, piece))
-        end = b
+def concatenated(coder: Coder, text: str, pieces: list[np.ndarray], ends: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
+    """The ids of all leaves of a text joined up the tree that cut it."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    for (a, end), ids, depth in zip(ends, pieces, _depths(text, ends), strict=True):
+        held.append((a, depth, ids))
         while len(held) > 1 and held[-1][1] == held[-2][1]:
-            cut, depth, right = held.pop()
+            cut, below, right = held.pop()
             start, _, left = held.pop()
-            held.append((start, depth - 1, joined(encode, reach, text, (start, cut, end), left, right, window)))
+            held.append((start, below - 1, joined(coder, text, (start, cut, end), left, right, window)))
     return held[0][2]
 
 
@@ -260,7 +272,7 @@ def _vocabulary(docs: DataFrame, path: str) -> Broadcast:
 
 
 _LEAF_ROWS = "digest binary, leaf int, text string"
-_PIECE_ROWS = "digest binary, leaf int, text string, ids array<int>, start array<int>, end array<int>"
+_PIECE_ROWS = "digest binary, leaf int, text string, ids binary"
 
 
 def _cut_rows(leaf: int):
@@ -277,8 +289,7 @@ def _piece_rows(vocabulary: Broadcast):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _coder(vocabulary.value)
         for batch in batches:
-            pieces = [coder.piece(text) for text in batch["text"]]
-            yield batch.assign(ids=[p.ids for p in pieces], start=[p.start.astype(np.int32) for p in pieces], end=[p.end.astype(np.int32) for p in pieces])
+            yield batch.assign(ids=[np.array(coder.ids(text), coder.packed).tobytes() for text in batch["text"]])
 
     return encode
 
@@ -291,11 +302,8 @@ def _tree_rows(vocabulary: Broadcast, finish: Callable[[Coder, np.ndarray], tupl
         text = "".join(r.text for r in rows)
         at = np.cumsum([0, *[len(r.text) for r in rows]]).tolist()
         ends = list(zip(at[:-1], at[1:], strict=True))
-        pieces = [
-            Piece(np.asarray(r.ids, np.int32), np.asarray(r.start, np.int64) + a, np.asarray(r.end, np.int64) + a) for r, a in zip(rows, at, strict=False)
-        ]
-        whole = concatenated(coder.piece, coder.reach, text, pieces, ends)
-        return pd.DataFrame([(rows[0].digest, *finish(coder, whole.ids))], columns=["digest", *names])
+        ids = concatenated(coder, text, [np.frombuffer(r.ids, coder.packed).astype(np.int32) for r in rows], ends)
+        return pd.DataFrame([(rows[0].digest, *finish(coder, ids))], columns=["digest", *names])
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
