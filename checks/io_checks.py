@@ -166,12 +166,25 @@ def p10(spark, sf):
 # --- streams --------------------------------------------------------------------------------------
 
 
+# Micro-batches that a feed takes at least.
+BATCHES = 4
+
+
+def mixed_shards(spark, sf, name):
+    """Trials as CSV shards of two headers, in files enough for ``BATCHES`` micro-batches of two."""
+    path = shared_path(spark, name)
+    trials = trial_rows(spark, sf)
+    for columns, half in ((COLUMNS, "sample_index <= 3"), (COLUMNS[::-1], "sample_index > 3")):
+        trials.filter(half).select(*columns).repartition(BATCHES).write.mode("append").options(**writers.CSV_OUT).csv(path)
+    return path
+
+
 @check("m1_run_rate_feed", v.with_views(f"SELECT sample_index, {v.F2P_COLUMNS} FROM trials GROUP BY sample_index", T))
 def m1(spark, sf):
-    shards = csv_shards(spark, sf, "shards")
+    shards = mixed_shards(spark, sf, "shards")
     out = shared_path(spark, "run-rates")
-    feeds.run_rate_feed(feeds.shard_stream(spark, shards), out, f"{out}-state").awaitTermination()
-    return spark.read.parquet(out)
+    feeds.run_rate_feed(spark, shards, out, f"{out}-state", max_files=2).awaitTermination()
+    return feeds.current_rates(spark, out)
 
 
 @check(
@@ -184,10 +197,41 @@ def m1(spark, sf):
     ),
 )
 def m2(spark, sf):
-    shards = csv_shards(spark, sf, "shards")
-    out = shared_path(spark, "results")
-    feeds.result_feed(feeds.shard_stream(spark, shards), out, f"{out}-state").awaitTermination()
-    return spark.read.parquet(out).select(*COLUMNS)
+    shipped = v.table(spark, sf, "lineitem").select(v.task_of_line().alias("task_id"), F.col("l_linenumber").alias("sample_index"), *v.states_of_line(), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    shards, out = shared_path(spark, "shards"), shared_path(spark, "results")
+    shipped.repartition(BATCHES).write.parquet(shards)
+    stream = spark.readStream.schema(shipped.schema).option("maxFilesPerTrigger", 1).parquet(shards)
+    feeds.result_feed(stream, out, f"{out}-state").awaitTermination()
+    return feeds.result_table(spark, out).select(*COLUMNS)
+
+
+def logged_results(spark, sf, newest_first):
+    """The first result of every trial, from a run log that arrives as files of succeeding times, in that order or against it."""
+    log, out = shared_path(spark, "log"), shared_path(spark, "results")
+    runs = v.runlog(spark, sf).withColumn("model", F.lit("model-a")).repartitionByRange(BATCHES, "ts")
+    writers.append_log(runs, log)
+    lines = spark.readStream.option("latestFirst", newest_first).option("maxFilesPerTrigger", 1).text(log)
+    parsed = lines.select(*text.parsed_log("value")).select("task_id", "sample_index", "ts", "state", "cost", "error_msg")
+    feeds.result_feed(parsed, out, f"{out}-state", keep="2 days").awaitTermination()
+    return feeds.result_table(spark, out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+FIRST_LOGGED = v.with_views(
+    """SELECT task_id, sample_index, ts, state, round(cost, 6) AS cost, error_msg FROM (
+      SELECT *, row_number() OVER (PARTITION BY task_id, sample_index ORDER BY ts, state, cost, error_msg) AS r FROM runlog)
+    WHERE r = 1""",
+    v.RUNLOG,
+)
+
+
+@check("m2_logged_results", FIRST_LOGGED)
+def m2_logged(spark, sf):
+    return logged_results(spark, sf, newest_first=False)
+
+
+@check("m2_logged_results_newest_first", FIRST_LOGGED)
+def m2_logged_reversed(spark, sf):
+    return logged_results(spark, sf, newest_first=True)
 
 
 @check(

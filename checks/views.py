@@ -5,7 +5,7 @@ Every view reads its tables whole: trials are all line items (runs 1 to 7), task
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialstats.functions.keys import DEFAULT_DOMAIN
@@ -23,16 +23,24 @@ def _task_id(key: str):
     return F.concat(F.lit("own"), (k % 400).cast("string"), F.lit("__repo"), (k % 7).cast("string"), F.lit("-"), k.cast("string"))
 
 
+def task_of_line() -> Column:
+    return _task_id("l_orderkey")
+
+
+def states_of_line() -> list[Column]:
+    """Initial and final state of a line item."""
+    return [
+        F.when(F.col("l_returnflag") == "N", "pass").otherwise("fail").alias("initial_state"),
+        F.when(F.col("l_quantity") == 50, "INVALID").when(F.col("l_quantity") <= 10, "pass").otherwise("fail").alias("final_state"),
+    ]
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with the outcomes of two arms."""
     return table(spark, sf_dir, "lineitem").select(
-        _task_id("l_orderkey").alias("task_id"),
+        task_of_line().alias("task_id"),
         F.col("l_linenumber").alias("sample_index"),
-        F.when(F.col("l_returnflag") == "N", "pass").otherwise("fail").alias("initial_state"),
-        F.when(F.col("l_quantity") == 50, "INVALID")
-        .when(F.col("l_quantity") <= 10, "pass")
-        .otherwise("fail")
-        .alias("final_state"),
+        *states_of_line(),
         F.when(F.col("l_tax") <= 0.01, "pass").otherwise("fail").alias("base_state"),
     )
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+import os
+
+import pyarrow as pa
+import pytest
 from conftest import rows
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from trialstats.operators.rates import f2p_by_run
 from trialstats.schema import TRIAL_SCHEMA
+from trialstats.sources.paths import matching
 from trialstats.streaming import feeds
 
 HEADER = "task_id,sample_index,initial_state,final_state\n"
@@ -18,35 +25,132 @@ def put(folder, name, lines):
 
 
 def test_run_rates_follow_the_shards(spark, tmp_path):
-    shards, out, state = tmp_path / "in", f"{tmp_path}/rates", f"{tmp_path}/state"
+    shards, out, state = tmp_path / "in [x]", f"{tmp_path}/rates", f"{tmp_path}/state"
     put(shards, "a.csv", ["a,1,fail,pass", "a,2,fail,fail"])
+    wanted = [("a", 1, "fail", "pass"), ("a", 2, "fail", "fail")]
 
     def run():
-        feeds.run_rate_feed(feeds.shard_stream(spark, str(shards), max_files=1), out, state).awaitTermination()
-        batch = f2p_by_run(spark.read.schema(TRIAL_SCHEMA).option("header", True).csv(str(shards)))
-        assert rows(spark.read.parquet(out)) == rows(batch)
+        folder = str(shards).replace("[", "\\[").replace("]", "\\]")
+        feeds.run_rate_feed(spark, folder, out, state, max_files=1).awaitTermination()
+        batch = f2p_by_run(spark.createDataFrame(wanted, TRIAL_SCHEMA))
+        assert rows(feeds.current_rates(spark, out)) == rows(batch)
 
     run()
-    put(shards, "b.csv", ["b,1,fail,fail", "b,3,fail,pass"])
-    put(shards, "c.csv", ["c,1,pass,pass"])
+    put(shards, "b.csv", ["b,1,fail,fail", "b,3,fail,pass", "b,,fail,pass"])
+    # Another order of columns, and one more: they go by name.
+    (shards / "c.csv").write_text("final_state,cost,task_id,initial_state,sample_index\npass,1,c,pass,1\nfail,2,d,fail,1\n")
+    wanted += [("b", 1, "fail", "fail"), ("b", 3, "fail", "pass"), ("c", 1, "pass", "pass"), ("d", 1, "fail", "fail")]
     run()
+    run()  # nothing new arrives
+    assert len(matching(spark, f"{out}/version-*")) == 2
+
+
+def test_rates_are_replaced_in_one_step(spark, tmp_path, monkeypatch):
+    """A batch that fails at any point leaves the version before in force; run again, it counts once."""
+    shards, out, state = tmp_path / "in", f"{tmp_path}/rates", f"{tmp_path}/state"
+    put(shards, "a.csv", ["a,1,fail,pass"])
+    feeds.run_rate_feed(spark, str(shards), out, state).awaitTermination()
+    first = rows(feeds.current_rates(spark, out))
+    put(shards, "b.csv", ["b,1,fail,fail", "b,2,fail,fail"])
+    whole = feeds.replace_text
+
+    def fails_before(*args):
+        raise OSError("the executor was lost")
+
+    def fails_after(*args):
+        whole(*args)
+        raise OSError("the driver was lost")
+
+    for failure, seen in ((fails_before, first), (fails_after, None)):
+        monkeypatch.setattr(feeds, "replace_text", failure)
+        with pytest.raises(StreamingQueryException):
+            feeds.run_rate_feed(spark, str(shards), out, state).awaitTermination()
+        if seen is not None:
+            assert rows(feeds.current_rates(spark, out)) == seen
+    monkeypatch.setattr(feeds, "replace_text", whole)
+    feeds.run_rate_feed(spark, str(shards), out, state).awaitTermination()
+    assert rows(feeds.current_rates(spark, out)) == [(1, 2, 1, 50.0), (2, 1, 0, 0.0)]
+    # A stream that lost its progress would count everything again: it is refused.
+    with pytest.raises(StreamingQueryException, match="another checkpoint"):
+        feeds.run_rate_feed(spark, str(shards), out, f"{tmp_path}/other").awaitTermination()
+
+
+def test_shard_stream_refuses_another_header(spark, tmp_path):
+    shards = tmp_path / "in"
+    shards.mkdir()
+    (shards / "a.csv").write_text("task_id,sample_index,final_state,initial_state\na,1,pass,fail\n")
+    query = feeds.shard_stream(spark, str(shards)).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state")
+    with pytest.raises(StreamingQueryException):
+        query.trigger(availableNow=True).start().awaitTermination()
+
+
+RESULT = "task_id string, sample_index int, ts timestamp, state string, cost double"
+
+
+def result_batches(spark, folder, batches):
+    """One file per batch, in this order of arrival."""
+    for i, batch in enumerate(batches):
+        made = spark.createDataFrame([(t, i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h), s, c) for t, i, h, s, c in batch], RESULT)
+        made.coalesce(1).write.mode("append").parquet(folder)
+        for name in os.listdir(folder):
+            if name.endswith(".parquet") and not os.path.exists(f"{folder}/.{name}.seen"):
+                os.utime(f"{folder}/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+                open(f"{folder}/.{name}.seen", "w").close()
+
+
+def feed(spark, folder, out, state, **more):
+    stream = spark.readStream.schema(RESULT).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = feeds.result_feed(stream, out, state, **more)
+    query.awaitTermination()
+    return query
+
+
+BATCH_ROWS = [
+    [("a", 1, 0, "pass", 1.0), ("a", 1, 5, "fail", 2.0), ("b", 1, 1, "fail", None), ("c", 2, 3, "pass", float("nan"))],
+    [("a", 1, 2, "fail", 1.0), ("b", 1, 0, "pass", 3.0), ("d", 1, 30, "fail", 1.0)],
+    [("c", 2, 3, "fail", 1.0), ("e", 1, 300, "pass", 1.0), ("e", 1, 300, "pass", 1.0)],
+    [("a", 1, -1, "INVALID", 9.0), ("d", 1, 31, "pass", 1.0), ("f", 1, 301, "fail", 1.0)],
+    [("b", 1, 0, "fail", 3.0), ("a", 1, 1, "pass", 0.0), ("g", 1, 900, "pass", 1.0)],
+]
+
+
+def test_results_do_not_depend_on_the_order_of_batches(spark, tmp_path):
+    """Five micro-batches in three orders: the same table, whatever came late, and states that are dropped."""
+    tables = []
+    for k, order in enumerate(([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 4, 0, 3, 1])):
+        folder, out = f"{tmp_path}/in{k}", f"{tmp_path}/out{k}"
+        result_batches(spark, folder, [BATCH_ROWS[i] for i in order])
+        query = feed(spark, folder, out, f"{tmp_path}/state{k}", keep="10 hours")
+        assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 5
+        tables.append([(r.task_id, r.sample_index, r.ts.day, r.ts.hour, r.state, r.cost) for r in feeds.result_table(spark, out).orderBy("task_id").collect()])
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+        if k == 0:
+            # Seven keys were seen; those of the first days have left the state.
+            assert held[-1] <= 2
+    assert tables[0] == tables[1] == tables[2]
+    assert [t[0] for t in tables[0]] == ["a", "b", "c", "d", "e", "f", "g"]
+    assert tables[0][0][4:] == ("INVALID", 9.0) and tables[0][1][4:] == ("fail", 3.0)
 
 
 def test_results_are_written_once(spark, tmp_path):
-    shards, out, state = tmp_path / "in", f"{tmp_path}/results", f"{tmp_path}/state"
-
-    def run(state=state):
-        feeds.result_feed(feeds.shard_stream(spark, str(shards), max_files=1), out, state).awaitTermination()
-        return rows(spark.read.parquet(out).select("task_id", "sample_index"))
-
-    put(shards, "a.csv", ["a,1,fail,pass", "a,1,fail,pass", "b,1,fail,fail"])
-    assert run() == [("a", 1), ("b", 1)]
-    put(shards, "b.csv", ["b,1,fail,pass", "c,1,fail,fail"])
-    assert run() == [("a", 1), ("b", 1), ("c", 1)]
-    # The first answer of b stays.
-    assert spark.read.parquet(out).filter("task_id = 'b'").first().final_state == "fail"
-    # A stream that lost its progress sends everything again: the table is the same.
-    assert run(f"{tmp_path}/other-state") == [("a", 1), ("b", 1), ("c", 1)]
+    folder, out, state = f"{tmp_path}/in", f"{tmp_path}/results", f"{tmp_path}/state"
+    result_batches(spark, folder, [[("a", 1, 0, "pass", 1.0)] * 3 + [("b", 1, 0, "fail", 1.0)]])
+    feed(spark, folder, out, state)
+    assert spark.read.parquet(out).count() == 2
+    result_batches(spark, folder, [[("a", 1, 0, "pass", 1.0), ("a", 1, 4, "fail", 1.0), ("c", 1, 0, "fail", 1.0)]])
+    feed(spark, folder, out, state)
+    # The state holds what was chosen before: only what is new is written, and no folder is read.
+    assert sorted((r.task_id, r.version) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 1), ("c", 1)]
+    # A stream that lost its progress sends everything again to another folder: the table is the same.
+    feed(spark, folder, f"{out}2", f"{state}2")
+    assert rows(feeds.result_table(spark, out)) == rows(feeds.result_table(spark, f"{out}2"))
+
+
+def test_rows_are_combined_before_the_shuffle():
+    """A hot key leaves each batch as one row, with the latest of its times."""
+    batch = pa.RecordBatch.from_pydict({"k": ["x"] * 5 + [None], "v": [3, None, 2, None, 5, 1], feeds._MILLIS: [1, 2, 9, 4, 5, 6]})
+    (out,) = feeds._least_of_batch(["k"], ["v"])(iter([batch]))
+    assert out.to_pylist() == [{"k": "x", "v": None, feeds._MILLIS: 9}, {"k": None, "v": 1, feeds._MILLIS: 6}]
 
 
 def run_log(spark, times):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -58,3 +60,47 @@ def first_matching(spark: SparkSession, patterns: Sequence[str], ignored: Sequen
         if any(base_name(path) not in dropped for path in matching(spark, pattern)):
             return pattern
     return None
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop path of ``path``, and its file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file whole, or nothing where it is absent."""
+    file, system = _file_system(spark, path)
+    if not system.exists(file):
+        return None
+    opened = system.open(file)
+    try:
+        return bytes(opened.readAllBytes()).decode()
+    finally:
+        opened.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file in one step: a reader sees the old text or the new one, never a part or nothing."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file, system = _file_system(spark, path)
+    new, _ = _file_system(spark, f"{path}-{uuid.uuid4().hex}")
+    written = system.create(new, True)
+    written.write(bytearray(text.encode()))
+    written.close()
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(kinds, 1)
+    overwrite[0] = kinds.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(file.toUri(), conf).rename(new, file, overwrite)
+
+
+def delete(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete folders of one's own, with all that is in them."""
+    for path in paths:
+        folder, system = _file_system(spark, path)
+        system.delete(folder, True)
+
+
+def as_plain(path: str) -> str:
+    """A path in which no character stands for others, for readers that take patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)

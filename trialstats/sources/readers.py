@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from trialstats.schema import TASK_SCHEMA, TRIAL_SCHEMA
 from trialstats.session import cut_lineage
-from trialstats.sources.paths import base_name, first_lines, first_matching
+from trialstats.sources.paths import as_plain, base_name, first_lines, first_matching
 
 # A header line, and a quote in a quoted text is doubled.
 CSV = {"header": True, "quote": '"', "escape": '"'}
@@ -64,6 +64,14 @@ def read_shards(
     return parsed.filter(F.col(CORRUPT).isNull() & _reads_all(schema)).select(*schema.fieldNames())
 
 
+def read_shard_files(spark: SparkSession, files: Sequence[str], schema: T.StructType = TRIAL_SCHEMA) -> DataFrame:
+    """Outcome shards of the files named, as ``read_shards`` reads those of a pattern."""
+    if not files:
+        return spark.createDataFrame([], schema)
+    parsed = _parsed_files(spark, [as_plain(path) for path in files], (), schema)
+    return parsed.filter(F.col(CORRUPT).isNull() & _reads_all(schema)).select(*schema.fieldNames())
+
+
 def rejected_lines(
     spark: SparkSession,
     patterns: str | Sequence[str],
@@ -88,13 +96,19 @@ def _parsed_shards(
     pattern = first_matching(spark, names, ignored)
     if pattern is None:
         raise FileNotFoundError(f"no outcome shards match any of {names}")
+    return _parsed_files(spark, pattern, ignored, schema)
+
+
+def _parsed_files(
+    spark: SparkSession, pattern: str | list[str], ignored: Sequence[str], schema: T.StructType
+) -> DataFrame:
     groups = _by_header(spark, pattern, ignored)
     parts = [_shards_of_header(spark, pattern, header, schema, files if len(groups) > 1 else None) for header, files in groups.items()]
     rows = reduce(DataFrame.unionByName, parts)
     return rows.filter(~F.col(SOURCE_FILE).isin(*ignored)) if ignored else rows
 
 
-def _by_header(spark: SparkSession, pattern: str, ignored: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+def _by_header(spark: SparkSession, pattern: str | list[str], ignored: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by the names in their header line; only that line of a file is read here."""
     files = sorted(path for path in spark.read.text(pattern).inputFiles() if base_name(path) not in set(ignored))
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -105,7 +119,7 @@ def _by_header(spark: SparkSession, pattern: str, ignored: Sequence[str]) -> dic
 
 
 def _shards_of_header(
-    spark: SparkSession, pattern: str, header: tuple[str, ...], schema: T.StructType, files: list[str] | None
+    spark: SparkSession, pattern: str | list[str], header: tuple[str, ...], schema: T.StructType, files: list[str] | None
 ) -> DataFrame:
     """``schema``, the text of a line that does not fit, and its file; of the files of one header, or of all."""
     types = {f.name: f.dataType for f in schema.fields}

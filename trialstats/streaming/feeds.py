@@ -1,72 +1,208 @@
-"""Run rates as shards arrive, exactly-once result batches, and error rates per time window."""
+"""Run rates as shards arrive, one result per trial however often it is sent, and error rates per time window."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from trialstats.functions.states import is_invalid, rate, retryable
-from trialstats.operators.rates import f2p_by_run
+from trialstats.operators.rates import RUN, counts
 from trialstats.operators.tables import one_per_key
 from trialstats.schema import TRIAL_KEY, TRIAL_SCHEMA
-from trialstats.sources.paths import matching
-from trialstats.sources.readers import CSV
+from trialstats.sources.paths import base_name, delete, matching, read_text, replace_text
+from trialstats.sources.readers import CSV, read_shard_files
 
 
 def shard_stream(
     spark: SparkSession, folder: str, schema: T.StructType = TRIAL_SCHEMA, max_files: int | None = None
 ) -> DataFrame:
-    """CSV outcome shards of a folder as a stream; ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema).options(**CSV)
+    """CSV outcome shards of a folder as a stream; ``max_files`` bounds a micro-batch.
+
+    The header of every shard must name the columns of ``schema`` in their order, else the stream fails: columns
+    are never taken by position. ``run_rate_feed`` reads shards of any column order.
+    """
+    reader = spark.readStream.schema(schema).options(**CSV).option("enforceSchema", False)
     return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).csv(folder)
 
 
-def run_rate_feed(trials: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the rate of every run current: each batch replaces the table at ``out``, one row per run.
+# --- running rates --------------------------------------------------------------------------------
 
-    The state is two counts per run. Rows are combined before the shuffle, as in the batch job.
-    """
+# Names under the folder of a rate table: the pointer to the version that readers see, and the versions.
+_CURRENT, _VERSION = "current", "version"
 
-    def publish(rates: DataFrame, batch_id: int) -> None:
-        rates.coalesce(1).write.mode("overwrite").parquet(out)
+# Files whose names one micro-batch sends to the driver.
+MAX_FILES = 1000
 
-    return (
-        f2p_by_run(trials)
-        .writeStream.outputMode("complete")
-        .foreachBatch(publish)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
 
+def run_rate_feed(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, max_files: int = MAX_FILES, schema: T.StructType = TRIAL_SCHEMA
+) -> StreamingQuery:
+    """Keep the rate of every run current as CSV shards arrive in ``folder``; ``current_rates`` reads the table at ``out``.
 
-def result_feed(results: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = TRIAL_KEY) -> StreamingQuery:
-    """Write every trial once, whatever ranges overlap or batches are sent again.
+    The stream carries the names of new files; each micro-batch reads its files by their headers, counts them per run (combined
+    before the shuffle) and adds these counts to the version before. A new version is written aside and comes in force
+    when one pointer file is renamed, so a reader sees the old table or the new one, whole. A micro-batch that is run
+    again starts from the version before its own and changes nothing. Two versions are kept, for readers that have
+    begun; older ones are deleted.
+    """
+    arrivals = (
+        spark.readStream.format("binaryFile")  # its contents are not read: only the path is asked for
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("pathGlobFilter", "*.csv")
+        .option("maxFilesPerTrigger", max_files)
+        .load(folder)
+        .select("path")
+    )
 
-    Each batch keeps one row per key (combined before the shuffle), drops keys written by earlier
-    batches and replaces its own folder, so a batch that is run again after a failure leaves no copy.
-    Repeats are found however late they come; ``drop_recent_repeats`` bounds the look-back instead.
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        files = [row.path for row in batch.collect()]
+        pointer = json.loads(read_text(spark, f"{out}/{_CURRENT}") or '{"batch": -1, "path": null, "before": null}')
+        if batch_id < pointer["batch"]:
+            raise ValueError(f"{out} has batch {pointer['batch']}; batch {batch_id} comes from another checkpoint")
+        base = pointer["before"] if batch_id == pointer["batch"] else pointer["path"]
+        counted = read_shard_files(spark, files, schema).groupBy(RUN).agg(*counts())
+        if base is not None:
+            counted = counted.unionByName(spark.read.schema(counted.schema).parquet(base))
+        path = f"{out}/{_VERSION}-{batch_id}-{uuid.uuid4().hex}"
+        totals = counted.groupBy(RUN).agg(F.sum("n_failing").alias("n_failing"), F.sum("n_rescued").alias("n_rescued"))
+        totals.coalesce(1).write.parquet(path)
+        replace_text(spark, f"{out}/{_CURRENT}", json.dumps({"batch": batch_id, "path": path, "before": base}))
+        kept = {base_name(p) for p in (path, base) if p is not None}
+        delete(spark, [p for p in matching(spark, f"{out}/{_VERSION}-*") if base_name(p) not in kept])
+
+    return arrivals.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_rates(spark: SparkSession, out: str) -> DataFrame:
+    """The rates of all runs that ``run_rate_feed`` has published last, one row per run."""
+    pointer = read_text(spark, f"{out}/{_CURRENT}")
+    if pointer is None:
+        raise FileNotFoundError(f"no rates were published at {out}")
+    totals = spark.read.parquet(json.loads(pointer)["path"]).filter(F.col(RUN).isNotNull())
+    return totals.select(RUN, "n_failing", "n_rescued", rate(F.col("n_rescued"), F.col("n_failing")).alias("f2p"))
+
+
+# --- results --------------------------------------------------------------------------------------
+
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_MILLIS, VERSION = "_millis", "version"
+
+
+def _order(values: Sequence) -> tuple:
+    """Orders rows as Spark orders structs: null first, NaN last."""
+    return tuple((v is not None, v != v, v if v == v else None) if v is not None else (False,) for v in values)
+
+
+def _least_of_batch(keys: Sequence[str], others: Sequence[str]):
+    """Before the shuffle: of a batch of rows, the least of each key, and its latest time. Copies of a hot key stay where they are."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, *others, _MILLIS)]
+            least: dict[tuple, tuple[tuple, int, int]] = {}
+            for i, (*row, millis) in enumerate(zip(*columns, strict=True)):
+                key, rank = tuple(row[: len(keys)]), _order(row[len(keys) :])
+                held = least.get(key)
+                latest = millis if held is None else max(millis, held[2])
+                least[key] = (rank, i, latest) if held is None or rank < held[0] else (held[0], held[1], latest)
+            kept = batch.take(pa.array([i for _, i, _ in least.values()], pa.int64()))
+            at = kept.schema.get_field_index(_MILLIS)
+            yield kept.set_column(at, kept.schema.field(at), pa.array([m for _, _, m in least.values()], pa.int64()))
+
+    return combine
+
+
+class _Choice(StatefulProcessor):
+    """The row that a key has now, until its time is over; puts out each row that replaces another."""
+
+    def __init__(self, keys: Sequence[str], others: Sequence[T.StructField], keep_millis: int):
+        self.keys, self.others, self.keep_millis = list(keys), list(others), keep_millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [*self.others, T.StructField(VERSION, T.LongType()), T.StructField(_MILLIS, T.LongType())]
+        self.choice = handle.getValueState("choice", T.StructType(fields))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        names = [f.name for f in self.others]
+        held = self.choice.get()
+        best, version, ends = (None, 0, 0) if held is None else (tuple(held[: len(names)]), held[-2], held[-1])
+        before, until = version, ends
+        for row in rows:
+            values = tuple(row[n] for n in names)
+            if best is None or _order(values) < _order(best):
+                best, version = values, before + 1
+            until = max(until, row[_MILLIS] + self.keep_millis)
+        if until != ends:
+            if held is not None:
+                self.handle.deleteTimer(ends)
+            self.handle.registerTimer(until)
+        if until != ends or version != before:
+            self.choice.update((*best, version, until))
+        if version != before:
+            yield Row(**dict(zip([*self.keys, *names, VERSION], [*key, *best, version], strict=True)))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.choice.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def result_feed(
+    results: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = TRIAL_KEY, ts: str = "ts", keep: str = "1 day"
+) -> StreamingQuery:
+    """Write the results of a stream so that ``result_table`` has one row per key, whatever ranges overlap or batches are sent again.
+
+    Of the rows of a key the least by its other columns, in their order, is its result: with the time first, the earliest. That
+    depends on the rows alone, not on their batches. The state holds the result of a key so far, and each row that
+    replaces it is appended as its next version; no batch reads what was written before. A timer drops the state of a key once
+    the event time is ``keep`` past its last row. A row that comes later still is appended and takes its place in the table
+    all the same, so ``keep`` bounds the state and never the result. Rows without an event time are appended as well, and leave
+    their state as soon as the event time moves.
     """
+    spark = results.sparkSession
+    others = [c for c in results.columns if c not in keys]
+    # Times travel as microseconds, which order alike wherever they are held.
+    stamps = {f.name for f in results.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    fields = {f.name: T.StructField(f.name, T.LongType() if f.name in stamps else f.dataType) for f in results.schema.fields}
+    row_type = T.StructType([fields[c] for c in (*keys, *others)])
+    plain = [F.unix_micros(c).alias(c) if c in stamps else F.col(c) for c in (*keys, *others)]
+    timed = results.withWatermark(ts, keep).select(*plain, F.coalesce(F.unix_millis(F.col(ts).cast("timestamp")), F.lit(0)).alias(_MILLIS))
+    combined = timed.mapInArrow(_least_of_batch(keys, others), T.StructType([*row_type.fields, T.StructField(_MILLIS, T.LongType())]))
+    # The watermark trails by ``keep`` already, so a timer at the time of a row is that much later.
+    chosen = combined.groupBy(*keys).transformWithState(
+        _Choice(keys, [fields[c] for c in others], 0), T.StructType([*row_type.fields, T.StructField(VERSION, T.LongType())]), "append", "eventTime"
+    )
+    chosen = chosen.withColumns({c: F.timestamp_micros(c) for c in stamps})
+    had = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    try:
+        return (
+            chosen.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(_STATE_STORE, had)
 
-    def append_new(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = one_per_key(batch, keys)
-        earlier = [path for path in matching(spark, f"{out}/batch=*") if int(path.rsplit("=", 1)[1]) < batch_id]
-        if earlier:
-            written = spark.read.schema(batch.schema).parquet(*earlier).select(*keys)
-            rows = rows.join(written, list(keys), "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        results.writeStream.foreachBatch(append_new)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def result_table(spark: SparkSession, out: str, keys: Sequence[str] = TRIAL_KEY) -> DataFrame:
+    """One row per key of what ``result_feed`` wrote: the least of its versions, combined before the shuffle."""
+    return one_per_key(spark.read.parquet(out).drop(VERSION), keys)
 
 
 def drop_recent_repeats(
