@@ -223,6 +223,42 @@ def t4_domain(spark, sf):
     return paired.cliffs_delta(samples, "f2p", "arm", "t", "c", ["domain"]).select("domain", "cliffs_delta")
 
 
+# The chances of all sums of doubled ranks, one rank more at each step.
+SIGNED_SUMS = (
+    "diffs AS (SELECT domain, t - c AS d FROM domain_pairs WHERE t <> c)",
+    """ranked AS (
+      SELECT domain, d, (2 * rank() OVER (PARTITION BY domain ORDER BY abs(d)) + count(*) OVER (PARTITION BY domain, abs(d)) - 1)::BIGINT AS r
+      FROM diffs)""",
+    """listed AS (
+      SELECT domain, list(r ORDER BY r) AS rs, count(*)::BIGINT AS n, coalesce(sum(r) FILTER (d > 0), 0)::BIGINT AS w2 FROM ranked GROUP BY domain)""",
+    """dist AS (
+      SELECT domain, rs, n, w2, 0::BIGINT AS i, list_transform(generate_series(0, n * (n + 1)), lambda k: CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p
+      FROM listed
+      UNION ALL
+      SELECT domain, rs, n, w2, i + 1,
+        list_transform(generate_series(1, n * (n + 1) + 1), lambda k: (p[k] + CASE WHEN k > rs[i + 1] THEN p[k - rs[i + 1]] ELSE 0.0::DOUBLE END) / 2.0::DOUBLE)
+      FROM dist WHERE i < n)""",
+)
+
+
+@check(
+    "t2_exact_p_by_domain",
+    v.with_views(
+        """SELECT domain, n AS n_nonzero, w2 / 2.0::DOUBLE AS w_plus, 'exact' AS p_method, round(list_sum(p[w2 + 1:]), 6) AS p_value
+           FROM dist WHERE i = n""",
+        T,
+        v.DOMAINS,
+        v.PAIRS,
+        v.DOMAIN_PAIRS,
+        *SIGNED_SUMS,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def t2_domain(spark, sf):
+    pairs = joins.attach_domain(owner_pairs(spark, sf), v.domains(spark, sf))
+    compared = paired.paired_comparison(pairs, group_cols=["domain"], method="exact")
+    return compared.filter("n_nonzero > 0").select("domain", "n_nonzero", "w_plus", "p_method", "p_value")
+
+
 @check(
     "t5_effect_labels",
     v.with_views(

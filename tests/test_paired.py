@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from checks import views
 from trialstats.operators import rates
 from trialstats.plans.comparison import summary_report, summary_row, with_key
 from trialstats.functions.hashing import uniform
+from trialstats.plans import exact_tail
 from trialstats.plans.paired import cliffs_delta, exact_upper_tail, normal_upper_tail, paired_comparison, signed_ranks
 from trialstats.plans.quantiles import box_plot, dispersion, histogram, quantiles, value_counts
 from trialstats.plans.running import running_totals
@@ -87,6 +90,58 @@ def test_exact_tails(spark, n, w, p):
     assert spark.range(1).select(exact_upper_tail(ranks, str(2 * w)).alias("p")).first().p == p
 
 
+def counted_tail(ranks, w2):
+    """The share of all choices of signs whose positive doubled ranks reach ``w2``, in whole numbers."""
+    ways = np.zeros(sum(ranks) + 1, dtype=object)
+    ways[0] = 1
+    for r in ranks:
+        ways[r:] = ways[r:] + ways[:-r].copy()
+    return Fraction(int(sum(ways[w2:].tolist())), 2 ** len(ranks))
+
+
+def doubled_ranks(sizes):
+    """(doubled rank, pairs, pairs before) of differences that are tied in groups of these sizes."""
+    befores = [sum(sizes[:i]) for i in range(len(sizes))]
+    return [(2 * b + m + 1, m, b) for m, b in zip(sizes, befores)]
+
+
+def test_product_tree_equals_enumeration(spark):
+    """Groups of all sizes up to 13 pairs and some larger ones, tied or not, at sums from none to all; small rows, so the tree is deep."""
+    rng = random.Random(7)
+    groups = {}
+    for n in [*range(1, 14), 60, 110]:
+        sizes = []
+        while sum(sizes) < n:
+            sizes.append(min(rng.choice([1, 1, 1, 2, 5]), n - sum(sizes)))
+        ranks = doubled_ranks(sizes)
+        whole = n * (n + 1)
+        for w2 in {0, 1, whole // 2, whole * 3 // 4, whole - 2, whole}:
+            groups[len(groups)] = (ranks, w2)
+    names = {g: None if g == 3 else g for g in groups}
+    rows_ = [(names[g], *r) for g, (ranks, _) in groups.items() for r in ranks]
+    sums = spark.createDataFrame([(names[g], w2) for g, (_, w2) in groups.items()], "g int, w2 bigint")
+    got = {r.g: r.p_exact for r in exact_tail.exact_tails(spark.createDataFrame(rows_, "g int, r int, m int, before int"), sums, ["g"], block=256, leaf_size=3000).collect()}
+    assert len(got) == len(groups)
+    for g, (ranks, w2) in groups.items():
+        wanted = counted_tail([r for r, m, _ in ranks for _ in range(m)], w2)
+        assert got[names[g]] == pytest.approx(float(wanted), rel=1e-9)
+
+
+def test_product_tree_of_many_pairs(spark):
+    """Far tails keep their digits: 400 pairs, the largest sum has the chance 2 ** -400."""
+    n = 400
+    ranks = spark.createDataFrame([(k, 2 * (i + 1), 1, i) for k in range(3) for i in range(n)], "k int, r int, m int, before int")
+    w2 = {0: n * (n + 1), 1: n * (n + 1) * 9 // 10, 2: 0}
+    got = {r.k: r.p_exact for r in exact_tail.exact_tails(ranks, spark.createDataFrame(list(w2.items()), "k int, w2 bigint"), ["k"]).collect()}
+    assert got[0] == pytest.approx(2.0**-n, rel=1e-9) and got[2] == pytest.approx(1.0)
+    assert got[1] == pytest.approx(float(counted_tail(list(range(2, 2 * n + 1, 2)), w2[1])), rel=1e-9)
+
+
+def test_no_ranks_no_tails(spark):
+    none = spark.createDataFrame([], "k int, r int, m int, before int")
+    assert exact_tail.exact_tails(none, spark.createDataFrame([], "k int, w2 bigint"), ["k"]).collect() == []
+
+
 def test_exact_tail_of_fifty(spark):
     ranks = "sequence(2, 100, 2)"
     whole = spark.range(1).select(

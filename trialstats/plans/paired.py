@@ -14,15 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions.states import effect_label
-from trialstats.plans.running import running_totals
+from trialstats.plans.exact_tail import exact_tails
+from trialstats.plans.running import join_null_safe, running_totals
+from trialstats.session import stored_table
 
 ALL, PART = "_all", "_part"
 _EXACT = "decimal(38,0)"  # counts of pairs of trials outgrow 64 bits
 
 DIFFERENCE, LEVEL = "difference", "level"
 
-# Sums of doubled ranks of so many pairs still fit an index.
-_MOST_PAIRS = 40_000
+# Up to so many differing pairs a group's ranks are one short array; beyond, its tail is a job of its own.
+_FEW_PAIRS = 50
 
 
 def normal_upper_tail(z: str) -> Column:
@@ -58,8 +60,8 @@ def paired_comparison(
     Zero differences are dropped and equal absolute differences share their average rank. Differences
     are raw doubles, so ties are float ties; ``tie_decimals`` rounds them first. ``method`` is
     ``auto`` (exact p up to ``exact_up_to`` differing pairs, else the normal approximation with tie
-    correction and no continuity correction), ``exact`` whatever the number of pairs (cost grows with its
-    cube), or ``asymptotic``. ``p_method`` says which was used.
+    correction and no continuity correction), ``exact`` whatever the number of pairs (the work grows with its
+    square: some 1e7 coefficients for 5,000 pairs), or ``asymptotic``. ``p_method`` says which was used.
     A group whose differences are all zero has W+ 0 and p 1.
     """
     if method not in ("auto", "exact", "asymptotic"):
@@ -67,12 +69,15 @@ def paired_comparison(
     groups = list(group_cols)
     keys = groups or [ALL]
     ranked = _ranked_values(pairs, treatment, control, groups, tie_decimals)
-    stats = _statistics(ranked, keys, _listed(exact_up_to, method) if with_p else 0)
+    few = 0 if method == "asymptotic" or not with_p else _FEW_PAIRS if method == "exact" else min(exact_up_to, _FEW_PAIRS)
+    tree = with_p and (method == "exact" or method == "auto" and exact_up_to > _FEW_PAIRS)
+    if tree:
+        ranked = stored_table(ranked)
+    stats = _statistics(ranked, keys, few)
     if with_p:
-        exact = F.col("n_nonzero") <= _listed(exact_up_to, method)
-        p = normal_upper_tail("z") if method == "asymptotic" else _p_value(exact)
-        p = F.when(F.col("n_nonzero") == 0, 1.0).otherwise(p)
-        stats = stats.withColumn("p_value", p).withColumn("p_method", F.when(exact, "exact").otherwise("asymptotic"))
+        n = F.col("n_nonzero")
+        exact = F.lit(method == "exact") | (F.lit(method == "auto") & (n <= exact_up_to))
+        stats = _with_p(stats, ranked if tree else None, keys, few, exact).withColumn("p_method", F.when(exact, "exact").otherwise("asymptotic"))
     return stats.withColumn("effect", effect_label("cliffs_delta", scale)).select(
         *groups,
         "n_pairs",
@@ -239,13 +244,22 @@ def _statistics(ranked: DataFrame, keys: Sequence[str], exact_up_to: int) -> Dat
     )
 
 
-def _listed(exact_up_to: int, method: str) -> int:
-    """The most differing pairs for which p is exact."""
-    return {"asymptotic": 0, "exact": _MOST_PAIRS}.get(method, exact_up_to)
-
-
-def _p_value(exact: Column) -> Column:
-    return F.when(exact, exact_upper_tail("_ranks2", "CAST(_w2 AS INT)")).otherwise(normal_upper_tail("z"))
+def _with_p(stats: DataFrame, ranked: DataFrame | None, keys: Sequence[str], few: int, exact: Column) -> DataFrame:
+    """Adds ``p_value``: of the ranks themselves for small groups, by the product tree for larger ones (of ``ranked``), normal for all others."""
+    n, normal = F.col("n_nonzero"), normal_upper_tail("z")
+    small = F.when(n <= few, exact_upper_tail("_ranks2", "CAST(_w2 AS INT)")) if few else F.lit(None)
+    stats = stats.withColumn("p_value", F.when(n == 0, 1.0).when(exact & (n <= few), small).when(~exact, normal))
+    if ranked is None:
+        return stats
+    stats = stored_table(stats.drop("_ranks2"))
+    large = stats.filter("p_value IS NULL").select(*keys, F.col("_w2").alias("w2"))
+    if large.isEmpty():
+        return stats
+    here = ranked.filter(F.col(PART) == DIFFERENCE)
+    ranks = here.select(*keys, F.expr(_DOUBLED_RANK).alias("r"), F.expr("_up + _down").alias("m"), F.expr("_up_before + _down_before").alias("before"))
+    tails = exact_tails(join_null_safe(ranks, large.select(*keys), keys), large, keys)
+    beside = stats.filter("p_value IS NULL").drop("p_value")
+    return stats.filter("p_value IS NOT NULL").unionByName(join_null_safe(beside, tails.withColumnRenamed("p_exact", "p_value"), keys))
 
 
 def exact_upper_tail(ranks2: str, w2: str) -> Column:
