@@ -375,6 +375,57 @@ def test_chains_against_all_predecessors():
         for chain in found:
             assert (np.diff(at[chain]) > 0).all() and (np.diff(ref[chain]) > 0).all()
         assert sum(map(len, found)) <= len(at)
+        if score.max() > 5:
+            best, gone = found[0], np.diff(np.stack([at, ref])[:, found[0]])
+            assert 5 + (np.minimum(5, gone.min(0)) - passages.GAP * gone.sum(0)).sum() == pytest.approx(score.max())
+            assert score[best[-1]] == pytest.approx(score.max())
+
+
+def spans(df):
+    return sorted((r.doc_id, r.from_word, r.to_word, r.ref_id, r.ref_from, r.ref_to) for r in df.collect())
+
+
+def test_passages_of_a_single_pair(spark):
+    """One pair of documents in all, in one Arrow batch or in many, and each task with few rows."""
+    shared = prose(90, 700)
+    docs = documents(spark, [(1, prose(91, 20) + " " + shared), (2, shared + " " + prose(92, 30))])
+    wanted = [(2, 0, 700, 1, 20, 720)]
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    had = {k: spark.conf.get(k) for k in settings if k != "spark.sql.adaptive.coalescePartitions.enabled"}
+    assert spans(passages.repeated_passages(docs)) == wanted
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert spans(passages.repeated_passages(docs)) == wanted
+    finally:
+        for k in settings:
+            spark.conf.set(k, had[k]) if k in had else spark.conf.unset(k)
+
+
+def test_passages_of_repeated_ids(spark):
+    """A row that is there twice gives each span once; a row with the id and another text loses nothing."""
+    shared, other = prose(93, 60), prose(94, 150)
+    late = prose(95, 10) + " " + shared
+    rows = [(1, shared), (5, late), (5, late), (6, shared)]
+    assert spans(passages.repeated_passages(documents(spark, rows))) == [(5, 10, 70, 1, 0, 60), (6, 0, 60, 1, 0, 60)]
+    docs = documents(spark, [*rows, (5, other)])
+    cut = [(r.doc_id, r.text) for r in passages.without_passages(docs).collect()]
+    assert (5, other) in cut and len(cut) == 5
+    assert sum(1 for i, t in cut if i == 5 and t in (late, prose(95, 10))) == 2
+
+
+def test_alignment_along_runs_is_no_better_than_the_best():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        a = rng.integers(0, 50, 120).astype(np.int32)
+        keep = rng.random(120) > 0.05
+        b = np.where(rng.random(120) < 0.05, 99, a)[keep]
+        found = np.cumsum(keep) - 1
+        at = np.flatnonzero(keep & (np.where(keep, b[np.maximum(found, 0)], -1) == a))
+        runs = np.stack([at, found[at], np.ones(len(at), int)], axis=1)
+        plain, quick = passages.aligned(a, b, (0, 120), (0, len(b))), passages.aligned(a, b, (0, 120), (0, len(b)), runs)
+        assert plain[:4] == quick[:4] and quick[4] <= plain[4] + 1e-12
+        assert (quick[4] >= passages.IDENTITY) == (plain[4] >= passages.IDENTITY)
 
 
 def test_edit_distance():
