@@ -338,8 +338,8 @@ BY_TASK = "(SELECT max(CASE WHEN final_state = 'pass' THEN 100.0::DOUBLE ELSE 0.
 def a16(spark, sf):
     trials = v.trials(spark, sf)
     solved = passk.solved_tasks(trials).select((F.col("solved").cast("int") * 100.0).alias("solved"))
-    runs = quantiles.dispersion(rates.f2p_by_run(trials), "f2p", few_values=True)
-    per_task = quantiles.dispersion(solved, "solved", few_values=True)
+    runs = quantiles.dispersion(rates.f2p_by_run(trials), "f2p")
+    per_task = quantiles.dispersion(solved, "solved")
     return tables.union_arms({"pass_at_1": runs, "pass_at_all": per_task}, "metric")
 
 
@@ -351,7 +351,7 @@ def a16_prices(spark, sf):
 
 @check("a17_run_consistency", v.with_views(f"SELECT round(avg(f2p), 6) AS mean, round(stddev_pop(f2p), 6) AS sd FROM {BY_RUN}", T))
 def a17(spark, sf):
-    return quantiles.dispersion(rates.f2p_by_run(v.trials(spark, sf)), "f2p", few_values=True).select("mean", "sd")
+    return quantiles.dispersion(rates.f2p_by_run(v.trials(spark, sf)), "f2p").select("mean", "sd")
 
 
 @check(

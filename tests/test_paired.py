@@ -20,9 +20,11 @@ from trialstats.operators import rates
 from trialstats.plans.comparison import summary_report, summary_row, with_key
 from trialstats.functions.hashing import uniform
 from trialstats.plans import exact_tail
+from trialstats.plans import quantiles as quantiles_module
 from trialstats.plans.paired import cliffs_delta, exact_upper_tail, normal_upper_tail, paired_comparison, signed_ranks
 from trialstats.plans.quantiles import box_plot, dispersion, histogram, quantiles, value_counts
-from trialstats.plans.running import running_totals
+from trialstats.plans.running import attach_to_groups, running_totals
+from trialstats.session import stored_table
 
 
 def brute(pairs):
@@ -277,19 +279,54 @@ def test_running_totals(spark):
 def test_quantiles_as_numpy(spark):
     data = skewed(spark)
     got = {r.g: r for r in dispersion(data, "f2p_treatment", ["g"]).collect()}
-    quick = {r.g: r for r in dispersion(data, "f2p_treatment", ["g"], few_values=True).collect()}
     local = data.toPandas()
     for name, row in got.items():
         v = local[local.g.isna() if name is None else local.g == name].f2p_treatment
         expected = [len(v), v.mean(), np.percentile(v, 50), v.std(ddof=0), *np.percentile(v, [25, 75]), v.min(), v.max()]
         assert list(row[1:]) == pytest.approx(expected)
-        assert list(quick[name][1:]) == pytest.approx(expected)
     tails = quantiles(data, "f2p_treatment", [0.01, 0.999], ["low", "high"]).first()
     assert [tails.low, tails.high] == pytest.approx(list(np.percentile(local.f2p_treatment, [1, 99.9])))
 
 
+@pytest.mark.parametrize("sketch, grid, margin, listed", [(16, 400, 0.01, 100_000), (256, 400, 0.02, 40), (256, 50, 0.001, 5), (4096, 400, 0.01, 30)])
+def test_brackets_are_exact_whatever_the_sketch(spark, monkeypatch, sketch, grid, margin, listed):
+    """Small sketches that miss, brackets that must be narrowed again and again, ties, and single values: the same quantiles."""
+    for name, size in (("SKETCH", sketch), ("GRID", grid), ("MARGIN", margin), ("LISTED", listed)):
+        monkeypatch.setattr(quantiles_module, name, size)
+    made = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"),
+        F.when(F.col("id") % 3 == 0, (F.xxhash64("id") % 10_000).cast("double")).when(F.col("id") % 3 == 1, 7.5).otherwise((F.xxhash64("id") % 5).cast("double")).alias("v"),
+    )
+    extra = spark.createDataFrame([("c", 1.0), ("c", None), ("d", None), ("e", float("nan")), ("c", 4.0)], "g string, v double")
+    data = made.unionByName(extra)
+    got = {r.g: r for r in dispersion(data, "v", ["g"]).collect()}
+    local = data.toPandas().dropna(subset=["v"])
+    assert set(got) == {"a", "b", "c", None}
+    for name, row in got.items():
+        v = local[local.g.isna() if name is None else local.g == name].v
+        assert list(row[1:]) == pytest.approx([len(v), v.mean(), np.percentile(v, 50), v.std(ddof=0), *np.percentile(v, [25, 75]), v.min(), v.max()])
+    assert dispersion(data.limit(0), "v", ["g"]).collect() == [] == dispersion(data.limit(0), "v").collect()
+
+
+def test_no_range_shuffle_and_no_table_of_rows(spark, monkeypatch):
+    """What is written is a row for each group and position, and the rows are only ever combined."""
+    written = []
+
+    def seen(df):
+        out = stored_table(df)
+        written.append(out.count())
+        assert "rangepartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(quantiles_module, "stored_table", seen)
+    dispersion(skewed(spark, 20_000), "f2p_treatment", ["g"]).collect()
+    assert max(written) <= 3 * 10
+
+
 def test_groups_take_the_salted_join(spark):
-    assert "_salt" in dispersion(skewed(spark), "f2p_treatment", ["g"])._jdf.queryExecution().executedPlan().toString()
+    rows_ = skewed(spark).select("g", F.col("f2p_treatment").alias("_v"))
+    per_group = rows_.groupBy("g").agg(F.max("_v").alias("top"))
+    assert "_salt" in attach_to_groups(rows_, per_group, ["g"], "_v")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_box_plot(spark):
