@@ -11,6 +11,7 @@ from trialstats.operators import joins, rates
 from trialstats.schema import TRIAL_SCHEMA
 from trialstats.session import shared_path
 from trialstats.sources import readers, writers
+from trialstats.sources.paths import base_name, matching
 from trialstats.streaming import feeds
 
 T = v.TRIALS
@@ -35,6 +36,16 @@ def s1(spark, sf):
     return readers.read_shards(spark, f"{path}/part-*.csv")
 
 
+@check("s2_ignored_names", v.with_views(f"{ALL_TRIALS} WHERE sample_index <= 3", T))
+def s2(spark, sf):
+    path = shared_path(spark, "shards")
+    writers.write_csv(trial_rows(spark, sf).filter("sample_index <= 3"), path)
+    kept = set(matching(spark, f"{path}/part-*.csv"))
+    writers.write_csv(trial_rows(spark, sf), path, "append")
+    later = [base_name(p) for p in matching(spark, f"{path}/part-*.csv") if p not in kept]
+    return readers.read_shards(spark, f"{path}/part-*.csv", ignored=later)
+
+
 @check("s3_first_pattern", v.with_views(ALL_TRIALS, T))
 def s3(spark, sf):
     path = csv_shards(spark, sf, "shards")
@@ -72,6 +83,23 @@ def s6(spark, sf):
     return readers.read_json_lines(spark, path)
 
 
+TASK_ROWS = v.with_views("SELECT instance_id, repo, target_function, function_doc FROM tasks", v.TASKS)
+
+
+@check("s11_task_ids", TASK_ROWS)
+def s11(spark, sf):
+    path = shared_path(spark, "tasks")
+    v.tasks(spark, sf).drop("released").withColumnRenamed("instance_id", "task_id").write.json(path)
+    return readers.read_tasks(spark, [("parquet", f"{path}-missing"), ("json", path)])
+
+
+@check("p8_id_column", TASK_ROWS)
+def p8(spark, sf):
+    path = shared_path(spark, "tasks")
+    v.tasks(spark, sf).select("released", "repo", F.col("instance_id").alias("id"), "target_function", "function_doc").write.parquet(path)
+    return readers.read_tasks(spark, [("parquet", path)]).drop("released")
+
+
 @check("s9_parquet", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
 def s9(spark, sf):
     lines = readers.read_parquet(spark, f"{sf}/lineitem.parquet")

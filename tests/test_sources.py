@@ -219,7 +219,41 @@ def test_tree_under_a_folder_with_a_space(spark, tmp_path):
     assert readers.read_parquet_tree(spark, str(root)).count() == 3
 
 
-@pytest.mark.parametrize("name", ["instance_id", "task_id", "id"])
-def test_json_lines_under_any_id_name(spark, tmp_path, name):
-    (tmp_path / "t.json").write_text(f'{{"{name}": "a__b-1", "repo": "a/b"}}\n{{"{name}": "a__b-2", "repo": "a/b"}}\n')
-    assert readers.read_json(spark, f"{tmp_path}/t.json").count() == 2
+def test_tree_whose_root_occurs_again_below(spark, tmp_path):
+    root = tmp_path / "data"
+    spark.range(2).write.parquet(f"{root}/good")
+    spark.range(3).write.parquet(f"{root}/env{root}/lib")
+    assert readers.read_parquet_tree(spark, str(root)).count() == 2
+
+
+@pytest.mark.parametrize("name", ["instance_id", "task_id", "id", "index"])
+def test_tasks_under_any_id_name(spark, tmp_path, name):
+    one, two = {name: "a__b-1", "repo": "a/b"}, {name: "a__b-2", "repo": "c/d"}
+    forms = {
+        "t.jsonl": f"{json.dumps(one)}\n{json.dumps(two)}\n",
+        "t.json": json.dumps([one, two]),
+        "t.csv": f"repo,extra,{name}\na/b,1,a__b-1\nc/d,2,a__b-2\n",
+    }
+    for file, text in forms.items():
+        (tmp_path / file).write_text(text)
+        tasks = readers.read_tasks(spark, [("csv" if file.endswith("csv") else "json", f"{tmp_path}/{file}")])
+        assert rows(tasks.select("instance_id", "repo", "target_function")) == [("a__b-1", "a/b", None), ("a__b-2", "c/d", None)]
+    spark.createDataFrame([(7, "a__b-1", "a/b")], f"extra int, {name} string, repo string").write.parquet(f"{tmp_path}/t")
+    tasks = readers.read_tasks(spark, [("parquet", f"{tmp_path}/t")])
+    assert tasks.columns == ["instance_id", "repo", "target_function", "function_doc", "extra"]
+    assert rows(tasks.select("instance_id", "extra")) == [("a__b-1", 7)]
+
+
+@pytest.mark.parametrize("text", ['[{"instance_id": "a"}, {"instance_', '{"a__b-1": {"repo": "a/b"}, "a__b-2": {"re', '{"instance_id": "a"}\n{"instance_id": \n'])
+def test_broken_task_files_fail(spark, tmp_path, text):
+    """They give no rows of nulls, and hide no good source behind them."""
+    (tmp_path / "t.json").write_text(text)
+    (tmp_path / "t.csv").write_text("instance_id,repo\na,b\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_tasks(spark, [("json", f"{tmp_path}/t.json"), ("csv", f"{tmp_path}/t.csv")]).collect()
+
+
+def test_header_too_long_is_an_error(spark, tmp_path):
+    (tmp_path / "k.csv").write_text("task_id," + "x" * 70_000 + ",final_state\na,1,pass\n")
+    with pytest.raises(ValueError, match="longer than"):
+        readers.read_shards(spark, f"{tmp_path}/k.csv")

@@ -20,7 +20,7 @@ def base_name(path: str) -> str:
 
 
 def first_lines(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, str]]:
-    """Each file, and its first line that is not empty, of at most ``HEADER_BYTES``; ``files`` are URIs."""
+    """Each file, and its first line that is not empty; one of ``HEADER_BYTES`` or more is an error. ``files`` are URIs."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
 
@@ -35,6 +35,8 @@ def first_lines(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, st
             line = lines.readLine()
             while line is not None and not line.strip():
                 line = lines.readLine()
+            if line is not None and len(line.encode()) > HEADER_BYTES - 4:
+                raise ValueError(f"the header of {uri} is longer than {HEADER_BYTES} bytes")
             return uri, line or ""
         finally:
             opened.close()
@@ -68,6 +70,12 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and authority, as files are listed."""
+    plain, system = _file_system(spark, path)
+    return system.makeQualified(plain).toString()
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small text file whole, or nothing where it is absent."""
     file, system = _file_system(spark, path)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from trialstats.schema import TASK_SCHEMA, TRIAL_SCHEMA
 from trialstats.session import cut_lineage
-from trialstats.sources.paths import as_plain, base_name, first_lines, first_matching
+from trialstats.sources.paths import as_plain, base_name, first_lines, first_matching, qualified
 
 # A header line, and a quote in a quoted text is doubled.
 CSV = {"header": True, "quote": '"', "escape": '"'}
@@ -142,14 +142,18 @@ def _shards_of_header(
     return rows.select(*columns, F.col(text).alias(CORRUPT), F.col("_metadata.file_name").alias(SOURCE_FILE))
 
 
+# A document or line that does not parse is an error, never a row of nulls or no row at all.
+_STRICT = {"mode": "FAILFAST"}
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = TASK_SCHEMA) -> DataFrame:
-    """One JSON object per line: splits freely, so the form to prefer for large task sets."""
-    return spark.read.schema(schema).json(path)
+    """One JSON object per line: splits freely, so the form to prefer for large task sets. A broken line fails the query."""
+    return spark.read.schema(schema).options(**_STRICT).json(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = TASK_SCHEMA) -> DataFrame:
-    """Documents that are a JSON array of objects; Spark reads each document in one task."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Documents that are a JSON array of objects; Spark reads each document in one task. A truncated one fails the query."""
+    return spark.read.schema(schema).options(**_STRICT).option("multiLine", True).json(path)
 
 
 def read_json_keyed(
@@ -157,12 +161,12 @@ def read_json_keyed(
 ) -> DataFrame:
     """Documents that are one JSON object keyed by id; the key becomes ``id_col``.
 
-    Each document is read in one task: keep such documents small, or many, or store JSON Lines.
+    Each document is read in one task: keep such documents small, or many, or store JSON Lines. A truncated one fails the query.
     """
     fields = T.StructType([f for f in schema.fields if f.name != id_col])
     return (
         spark.read.text(path, wholetext=True)
-        .select(F.explode(F.from_json("value", T.MapType(T.StringType(), fields))).alias(id_col, "_task"))
+        .select(F.explode(F.from_json("value", T.MapType(T.StringType(), fields), _STRICT)).alias(id_col, "_task"))
         .select(id_col, "_task.*")
     )
 
@@ -178,37 +182,67 @@ def read_parquet_tree(spark: SparkSession, root: str, excluded: Sequence[str] =
     """
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    below = F.lower(F.substring_index(path, root.rstrip("/"), -1))
+    # A local file is written file:///a or file:/a, depending on who writes it.
+    path, top = F.regexp_replace(path, "^file:/+", "file:/"), re.sub("^file:/+", "file:/", qualified(spark, root)).rstrip("/")
+    below = F.lower(F.when(F.startswith(path, F.lit(top)), F.substring(path, len(top) + 1, 1 << 20)).otherwise(path))
     keep = F.lit(True)
     for text in excluded:
         keep = keep & ~F.contains(below, F.lit(text.lower()))
     return rows.filter(keep)
 
 
+def as_tasks(df: DataFrame, schema: T.StructType = TASK_SCHEMA) -> DataFrame:
+    """Task rows with the columns of ``schema`` first: the id is taken from the first id column there is, missing ones are null.
+
+    All other columns pass through.
+    """
+    own = id_column(df)
+    named = df if "instance_id" in df.columns else df.withColumnRenamed(own, "instance_id")
+    first = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in named.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return named.select(*first, *[F.col(f"`{c}`") for c in named.columns if c not in schema.fieldNames()])
+
+
+def _any_id(schema: T.StructType = TASK_SCHEMA) -> T.StructType:
+    """``schema`` with every name that an id may have."""
+    return T.StructType([*schema.fields, *[T.StructField(n, T.StringType()) for n in ID_COLUMNS if n not in schema.fieldNames()]])
+
+
+def _id_of_any(df: DataFrame, schema: T.StructType = TASK_SCHEMA) -> DataFrame:
+    found = F.coalesce(*[F.col(n) for n in ID_COLUMNS])
+    return df.select(*[found.alias(n) if n == "instance_id" else F.col(n) for n in schema.fieldNames()])
+
+
+def _csv_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Columns by the names in the header, as texts; the id under any of its names."""
+    return as_tasks(spark.read.options(**CSV).options(multiLine=True, enforceSchema=False).csv(path))
+
+
 _TASK_READERS = {
-    "jsonl": read_json_lines,
-    "json_array": read_json_array,
+    "jsonl": lambda spark, path: _id_of_any(read_json_lines(spark, path, _any_id())),
+    "json_array": lambda spark, path: _id_of_any(read_json_array(spark, path, _any_id())),
     "json_keyed": read_json_keyed,
-    "parquet": read_parquet,
-    "csv": lambda spark, path: read_csv(spark, path, TASK_SCHEMA),
+    "parquet": lambda spark, path: as_tasks(read_parquet(spark, path)),
+    "csv": _csv_tasks,
 }
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON task file in any of its three forms, told apart by how it starts."""
+    """A JSON task file in any of its three forms, told apart by how it starts; ids may have any of their names."""
     # A line may be a whole document: only its first character and whether it holds an id come back.
     line = F.ltrim("value")
     has_id = F.coalesce(*[F.get_json_object(line, f"$.{name}") for name in ID_COLUMNS]).isNotNull()
     head = spark.read.text(path).filter("trim(value) <> ''").select(F.substring(line, 1, 1).alias("start"), has_id.alias("has_id")).first()
     if head is None:
         raise ValueError(f"{path} is empty")
-    if head.start == "[":
-        return read_json_array(spark, path)
-    return read_json_lines(spark, path) if head.has_id else read_json_keyed(spark, path)
+    kind = "json_array" if head.start == "[" else "jsonl" if head.has_id else "json_keyed"
+    return _TASK_READERS[kind](spark, path)
 
 
 def read_tasks(spark: SparkSession, sources: Sequence[tuple[str, str]]) -> DataFrame:
-    """Tasks from the first ``(format, path)`` that exists; an error where none does, never made-up rows."""
+    """Tasks from the first ``(format, path)`` that exists; an error where none does, never made-up rows.
+
+    A source that exists but is broken fails the query: it does not hide a good one behind it as rows of nulls.
+    """
     for kind, path in sources:
         if first_matching(spark, [path]) is not None:
             return read_json(spark, path) if kind == "json" else _TASK_READERS[kind](spark, path)
