@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import pytest
 from conftest import rows
@@ -29,11 +30,13 @@ def by_hash(names, seed):
 
 
 @pytest.mark.parametrize("fraction", [0.0, 0.1, 0.5, 1.0])
-@pytest.mark.parametrize("digits", [1, 3])
-def test_fraction_of_ids(ids, fraction, digits):
+@pytest.mark.parametrize("step, ranked", [(1, 3), (3, 10_000)])
+def test_fraction_of_ids(ids, fraction, step, ranked, monkeypatch):
+    monkeypatch.setattr(sampling, "STEP", step)
+    monkeypatch.setattr(sampling, "RANKED", ranked)
     names = distinct(ids)
     wanted = by_hash(names, 42)[: round(len(names) * fraction)]
-    assert [r[0] for r in rows(sampling.sample_ids(ids, "task", fraction, digits=digits))] == sorted(wanted)
+    assert [r[0] for r in rows(sampling.sample_ids(ids, "task", fraction))] == sorted(wanted)
 
 
 def test_all_rows_of_the_sampled_ids(ids):
@@ -83,3 +86,26 @@ def test_uniform(spark):
     assert share == pytest.approx(0.1606, abs=0.01)
     u = df.limit(1).select(uniform(["id", "run"], 9).alias("u"), "id", "run").first()
     assert u.u == int(hashlib.md5(f"9|{u.id}|{u.run}".encode()).hexdigest()[:8], 16) / 2**32
+
+
+@pytest.mark.parametrize("ranked", [2, 10_000])
+def test_exactly_n_rows(spark, monkeypatch, ranked):
+    """Repeated and null ids, rows that are alike, and every n from none to all and beyond; each sample holds the smaller ones."""
+    monkeypatch.setattr(sampling, "RANKED", ranked)
+    made = [("a", 1), ("a", 2), ("a", 2), (None, 3), (None, 3), (None, 4), ("", 5), ("b", 6)] + [("hot", 7)] * 30
+    df = spark.createDataFrame(made, "task string, v int").repartition(4)
+    before = Counter()
+    for n in (0, 1, 2, 5, 9, 20, 33, 38, 50):
+        got = Counter(rows(sampling.sample_n(df, "task", n)))
+        assert sum(got.values()) == min(n, len(made))
+        assert not got - Counter(made) and not before - got
+        before = got
+
+
+def test_hot_stratum_is_split(spark, monkeypatch):
+    """A stratum with nearly all ids is counted and taken by salted keys, and only its end is ranked."""
+    monkeypatch.setattr(sampling, "RANKED", 20)
+    df = spark.range(4000).select(F.concat(F.lit("t"), F.col("id")).alias("task"), F.when(F.col("id") % 100 == 0, None).otherwise("hot").alias("kind"))
+    got = sampling.sample_strata(df, "task", "kind", 0.25)
+    assert rows(got.groupBy("kind").count()) == [(None, 10), ("hot", 990)]
+    assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
