@@ -36,7 +36,7 @@ from trialstats.session import stored_table
 LEAF = 16_384
 WINDOW = 64
 # Words that a task holds; beyond, it forgets all and starts again.
-WORDS = 200_000
+WORDS = 400_000
 
 # Characters that are told apart without the library: all below, but for those that it lower-cases or splits in another way.
 _PLAIN_END = 0x250
@@ -85,8 +85,9 @@ class Coder:
         form = json.dumps([form.get("normalizer"), form.get("pre_tokenizer")])
         #: Whether words end at blanks and blanks are dropped, so that no token reaches over one.
         self.blanks_part = hashlib.sha256(form.encode()).hexdigest() == _WORD_FORM
+        self._byte: dict[int, str] = {}
         self._plain, self._word = self._alphabet() if self.blanks_part else (re.compile(r"(?!)"), re.compile(r"(?!)"))
-        self._seen: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self._seen: dict[str, tuple[int, str, str]] = {}
 
     def _alphabet(self) -> tuple[re.Pattern, re.Pattern]:
         """Texts of plain characters, and their words, by asking the library about each character."""
@@ -104,45 +105,54 @@ class Coder:
                 others.append(c)
             elif not c.isdigit() or not c.isascii():
                 odd.append(c)
+        # How the library writes each byte of these characters.
+        for c in [*letters, *others, *map(str, range(10))]:
+            self._byte.update(zip(c.encode(), split(c)[0][0], strict=True))
         plain = "".join(map(re.escape, letters + others)) + r"0-9 \t\n\r\x0b\x0c"
         word = rf"'s|'t|'re|'ve|'m|'ll|'d|[{''.join(map(re.escape, letters))}]+|[0-9]|[{''.join(map(re.escape, others))}]+"
         return re.compile(f"[{plain}]*"), re.compile(word)
 
-    def _entries(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
-        """Ids of each word, or of what stands between blanks, with their decimal and token texts."""
+    def _entries(self, text: str) -> list[tuple[int, str, str]]:
+        """Of each word, or of what stands between blanks: number of ids, and their decimal and token texts."""
         if self._plain.fullmatch(text) and not self._added.search(text):
             return self._looked_up(self._word.findall(text.lower()), self._word_ids)
         # No word, added token or composed character reaches over a blank.
         return self._looked_up(_CHUNK.findall(text) if self.blanks_part else [text], self._library_ids)
 
-    def _looked_up(self, words: list[str], encode: Callable[[str], list[int]]) -> list[tuple[tuple[int, ...], str, str]]:
-        out = []
-        for word in words:
-            entry = self._seen.get(word)
-            if entry is None:
-                if len(self._seen) >= WORDS:
-                    self._seen.clear()
-                ids = encode(word)
-                entry = self._seen[word] = (tuple(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
-            out.append(entry)
-        return out
+    def _looked_up(self, words: list[str], encode: Callable[[str], list[int]]) -> list[tuple[int, str, str]]:
+        entries = list(map(self._seen.get, words))
+        if None in entries:
+            for at, entry in enumerate(entries):
+                if entry is None:
+                    entries[at] = self._seen.get(words[at]) or self._learnt(words[at], encode)
+        return entries
+
+    def _learnt(self, word: str, encode: Callable[[str], list[int]]) -> tuple[int, str, str]:
+        if len(self._seen) >= WORDS:
+            self._seen.clear()
+        ids = encode(word)
+        entry = self._seen[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+        return entry
 
     def _word_ids(self, word: str) -> list[int]:
-        if word.isascii() and word.isprintable():  # these stand for themselves in the library's alphabet of bytes
-            return [t.id for t in self.model.tokenize(word)]
-        return self._library_ids(word)
+        """Of a word of plain characters: it is all that the library would cut, so its bytes go to the merges at once."""
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self._byte))]
 
     def _library_ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> list[int]:
-        return [i for entry in self._entries(text) for i in entry[0]]
+        return [int(i) for entry in self._entries(text) for i in entry[1].split()]
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of their ids and of the decoded text."""
-        entries = [e for e in self._entries(text) if e[0]]
-        ids, decoded = " ".join([e[1] for e in entries]), " ".join([e[2] for e in entries])
-        return sum([len(e[0]) for e in entries]), _sha256(ids), _sha256(decoded)
+        entries = self._entries(text)
+        if not entries:
+            return 0, _sha256(""), _sha256("")
+        sizes, ids, decoded = zip(*entries, strict=True)
+        if 0 in sizes:  # blanks that no word is made of
+            ids, decoded = filter(None, ids), filter(None, decoded)
+        return sum(sizes), _sha256(" ".join(ids)), _sha256(" ".join(decoded))
 
     def decoded(self, ids: np.ndarray) -> str:
         """What the library's decode gives where the vocabulary has no decoder of its own; else its decode."""
