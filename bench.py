@@ -16,7 +16,7 @@ from checks import io_checks, paired_checks, rate_checks  # noqa: F401
 from checks import views as v
 from checks.registry import QUERIES
 from trialstats.plans.comparison import compare_arms, domain_comparison
-from trialstats.session import local_session
+from trialstats.session import local_session, removing_stored
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -57,8 +57,9 @@ HEADLINES = {
 
 def run(spark, query) -> float:
     start = time.perf_counter()
-    query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    with removing_stored(spark):
+        query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
 
 def main() -> None:

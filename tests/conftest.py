@@ -8,19 +8,27 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from trialstats.session import local_session  # noqa: E402
+from trialstats.session import CHECKPOINT_DIR, local_session, removing_stored  # noqa: E402
 
 TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session("8", "tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set(CHECKPOINT_DIR, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def stored_tables_go(spark):
+    """The tables stored by the tests of a module are removed after it."""
+    with removing_stored(spark):
+        yield
+
+
 @pytest.fixture(scope="session")
 def tiny():
     """The smallest test tables."""

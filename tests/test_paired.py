@@ -13,6 +13,7 @@ import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import views
@@ -276,6 +277,32 @@ def test_running_totals(spark):
     assert got.n.sum() == 3000
 
 
+@pytest.mark.parametrize("chunks", [1, 2, 7, 400])
+def test_running_totals_over_ranges(spark, chunks):
+    """Groups that span many ranges, several groups in one, null and NaN groups, null sums, more ranges than rows."""
+    made = spark.range(900).select(
+        F.when(F.col("id") < 600, 1.5).when(F.col("id") < 700, float("nan")).when(F.col("id") >= 720, F.col("id").cast("double")).alias("g"),
+        F.when(F.col("id") % 2 == 0, "x").alias("h"),
+        F.col("id").cast("string").alias("v"),
+        F.when(F.col("id") % 10 != 0, F.col("id") % 13).alias("n"),
+        (F.col("id") % 3).cast("int").alias("m"),
+    )
+    got = running_totals(made, ["g", "h"], "v", ["n", "m"], chunks)
+    inside = Window.partitionBy("g", "h")
+    before = inside.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    expected = made.select(
+        "*",
+        *[F.coalesce(F.sum(c).over(before), zero).alias(f"{c}_before") for c in ("n", "m")],
+        *[F.coalesce(F.sum(c).over(inside), zero).alias(f"{c}_total") for c in ("n", "m")],
+    )
+    shown = [F.col("g").cast("string"), *expected.columns[1:]]  # NaN is not equal to itself in Python
+    assert rows(got.select(shown)) == rows(expected.select(shown))
+    assert rows(running_totals(made.limit(0), ["g", "h"], "v", ["n"], chunks)) == []
+    alone = running_totals(made, [], "v", ["m"], chunks).toPandas().sort_values("v")
+    assert (alone.m_before == alone.m.cumsum() - alone.m).all() and (alone.m_total == alone.m.sum()).all()
+
+
 def test_quantiles_as_numpy(spark):
     data = skewed(spark)
     got = {r.g: r for r in dispersion(data, "f2p_treatment", ["g"]).collect()}

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from checks import views
 from trialstats.operators import joins, passk, rates, sampling
 from trialstats.plans.comparison import compare_arms, with_key
+from trialstats.plans import running
 from trialstats.plans.paired import paired_comparison
+from trialstats.session import _STORED, removing_stored, stored_table
 
 
 def plan(df) -> str:
@@ -145,3 +147,30 @@ def test_one_value_in_most_pairs(spark):
     d = d[d != 0]
     assert row.n_pairs == 40000
     assert row.w_plus == d.abs().rank()[d > 0].sum()
+
+
+def test_running_totals_shuffle_nothing_after_the_ranges(spark, tiny):
+    """What is read after the ranges is their rows and the few carried totals, which are small enough to be sent."""
+    prices = views.table(spark, tiny, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("n"))
+    with removing_stored(spark):
+        text = run_plan(running.running_totals(prices, ["l_returnflag"], "l_extendedprice", ["n"], 12))
+    assert "Exchange hashpartitioning" not in text and "Exchange rangepartitioning" not in text and "Window" not in text
+    assert text.count("BroadcastExchange") >= 1
+
+
+def test_ranges_follow_from_counted_rows(spark, monkeypatch):
+    monkeypatch.setattr(running, "RANGE_ROWS", 100)
+    made = spark.range(2000).select(F.lit(1).alias("g"), F.col("id").alias("v"), F.lit(1).alias("n"))
+    with removing_stored(spark):
+        sizes = [r["count"] for r in running.stored_in_ranges(made, ["g"], "v", ["n"]).groupBy(running.CHUNK).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 400
+
+
+def test_stored_tables_are_removed_by_their_owner(spark):
+    before = list(_STORED)
+    with removing_stored(spark):
+        held = stored_table(spark.range(5))
+        assert held.count() == 5 and len(_STORED) == len(before) + 1
+        path = _STORED[-1]
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert before == _STORED and not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Tables stored by this driver and not yet removed, oldest first.
+_STORED: list[str] = []
+
 
 def local_session(cores: str = "*", app_name: str = "trialstats", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches on one machine. A cluster brings its own settings."""
@@ -65,5 +70,32 @@ def stored_table(df: DataFrame) -> DataFrame:
     joins. Row order is not kept.
     """
     path = shared_path(df.sparkSession, "stored")
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    _STORED.remove(path)
+
+
+def remove_stored(df: DataFrame) -> None:
+    """Remove a ``stored_table`` that no plan reads any more."""
+    for path in [p for p in _STORED if any(f"{p.rsplit('/', 1)[-1]}/" in f for f in df.inputFiles()[:1])]:
+        _remove(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def removing_stored(spark: SparkSession) -> Iterator[None]:
+    """Own the tables stored inside the block: all of them are removed at its end.
+
+    Results of the block must be written or collected inside it, because they read those tables.
+    """
+    before = len(_STORED)
+    try:
+        yield
+    finally:
+        for path in _STORED[before:]:
+            _remove(spark, path)
