@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from trialstats.session import CHECKPOINT_DIR, local_session, removing_stored  # noqa: E402
+from trialstats.session import local_session, removing_stored  # noqa: E402
 
 TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 
@@ -17,7 +17,7 @@ TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 def spark(tmp_path_factory):
     session = local_session("8", "tests")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set(CHECKPOINT_DIR, str(tmp_path_factory.mktemp("shared")))
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
