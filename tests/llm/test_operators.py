@@ -449,6 +449,33 @@ def test_url_filter(spark):
     assert url_filter.filtered(captures.limit(0), none).count() == 0
 
 
+def test_url_filter_of_paths(spark):
+    """Paths of any depth, on the host and on domains above it, against a check of every entry."""
+    names = ("example.com", "example.com/a/b", "example.com/ads/", "www.example.com/ads/x", "www.example.com/a", "example.net//", "deep.org/" + "s/" * 40 + "t", "com")
+    urls = [
+        "http://example.com/a/b/c", "http://example.com/a/bc", "http://www.example.com/ads/x?q=/a/b", "http://www.example.com//ads///x/", "http://x.www.example.com/a#/b",
+        "http://example.net", "https://sub.deep.org/" + "s/" * 40 + "t/u", "https://deep.org/" + "s/" * 40, "http://notexample.com/ads", "http://example.com/" + "a/" * 20_000, "http:///a", "", None,
+    ]
+
+    def expected(url, listed):
+        host, _, path = (url or "").partition("://")[2].split("?")[0].split("#")[0].partition("/")
+        steps = [x for x in path.split("/") if x]
+        hits = []
+        for key in listed:
+            name, _, under = key.rstrip("/").partition("/")
+            wanted = under.split("/") if under else []
+            if host and (host == name or "." in name and host.endswith("." + name)) and steps[: len(wanted)] == wanted:
+                hits.append(key.rstrip("/"))
+        return len(hits), max(hits, key=lambda k: (len(k), k), default=None)
+
+    captures = spark.createDataFrame([(n, u, 5) for n, u in enumerate(urls)] * 2, "page_id int, url string, fetched_at bigint")
+    for listed in (names, names[1:3], names[:1], names[4:]):
+        entries = spark.createDataFrame([(k, 1, True) for k in listed], "key string, ts bigint, listed boolean")
+        got = url_filter.filtered(captures, entries).collect()
+        assert len(got) == 2 * len(urls)
+        assert {(r.id, r.n_listed, r.rule) for r in got} == {(n, *expected(u, listed)) for n, u in enumerate(urls)}
+
+
 def test_pipeline(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -483,4 +510,4 @@ def test_pipeline(spark, tiny):
                     clean.add(i)
             assert ids == clean
         assert ids <= set(held)
-    assert set(registered.QUERIES) == {f"op{n}_{name}" for n, name in enumerate(("mixing", "passages", "quality", "simhash", "line_dedup", "secrets", "personal_data", "url_filter", "exact_dedup", "decontaminate"), 1)}
+    assert set(registered.QUERIES) == {f"op{n}_{name}" for n, name in enumerate(("mixing", "passages", "quality", "simhash", "line_dedup", "secrets", "personal_data", "url_filter", "exact_dedup", "decontaminate", "whitening", "bpe", "conversations"), 1)}

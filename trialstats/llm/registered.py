@@ -18,7 +18,7 @@ from trialstats.llm.mixing import mixture
 from trialstats.llm.passages import repeated_passages
 from trialstats.llm.quality import judge
 from trialstats.llm.simhash import fingerprint_hex, simhash_groups
-from trialstats.llm.url_filter import filtered, host_of, path_of
+from trialstats.llm.url_filter import filtered, host_of, steps_of
 from trialstats.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,9 +150,11 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """A dated entry for every page: its domain, or its host and first step, put on the list or taken off."""
-    host, step, n = host_of(F.col("url")), path_of(F.col("url")), F.col("page_id")
-    key = F.when(n % 5 < 2, F.substring_index(host, ".", -3)).otherwise(F.concat_ws("/", host, step))
+    """A dated entry for every page, put on the list or taken off: its domain, its domain or host with a first step, or its host with the whole path."""
+    host, steps, n = host_of(F.col("url")), steps_of(F.col("url")), F.col("page_id")
+    name = F.when(n % 5 < 2, F.substring_index(host, ".", -3)).otherwise(host)
+    taken = F.when(n % 5 == 0, F.slice(steps, 1, 0)).when(n % 5 == 3, steps).otherwise(F.slice(steps, 1, 1))
+    key = F.concat(F.concat_ws("/", name, taken), F.when(n % 5 == 4, "/").otherwise(""))
     return pages.select(key.alias("key"), (F.lit(EPOCH) + n * 104729 % MONTH).alias("ts"), (n * 31 % 7 == 0).alias("listed"))
 
 
@@ -160,18 +162,20 @@ def list_entries(pages: DataFrame) -> DataFrame:
     "op8_url_filter",
     r"""WITH parts AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
-    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) AS step,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '') AS steps,
     1704067200 + page_id * 7919 % 2592000 AS fetched_at, 1704067200 + page_id * 104729 % 2592000 AS ts FROM pages),
 labels AS (SELECT *, string_split(host, '.') AS l FROM parts),
 entries AS (
   SELECT key, ts, max(listed) AS listed FROM (
-    SELECT CASE WHEN page_id % 5 < 2 THEN array_to_string(l[greatest(len(l) - 2, 1):], '.') ELSE host || '/' || step END AS key, ts,
+    SELECT array_to_string(list_concat(
+        [CASE WHEN page_id % 5 < 2 THEN array_to_string(l[greatest(len(l) - 2, 1):], '.') ELSE host END],
+        CASE page_id % 5 WHEN 0 THEN steps[1:0] WHEN 3 THEN steps ELSE steps[1:1] END), '/') AS key, ts,
       page_id * 31 % 7 = 0 AS listed FROM labels) GROUP BY 1, 2),
 periods AS (SELECT key, ts AS valid_from, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS valid_to, listed FROM entries),
+domains AS (SELECT page_id, fetched_at, steps, array_to_string(l[i:], '.') AS d FROM (SELECT *, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i FROM labels)),
 asked AS (
-  SELECT DISTINCT page_id, fetched_at, key FROM (
-    SELECT page_id, fetched_at, array_to_string(l[i:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i FROM labels)
-    UNION ALL SELECT page_id, fetched_at, host || '/' || step FROM labels WHERE step <> '')),
+  SELECT DISTINCT page_id, fetched_at, array_to_string(list_concat([d], steps[1:k]), '/') AS key
+  FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS k FROM domains)),
 active AS (
   SELECT page_id, key, valid_from, valid_to FROM asked JOIN periods USING (key)
   WHERE listed AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)),

@@ -20,18 +20,40 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def path_of(url: Column) -> Column:
-    """The first step of the path, without its slash; empty where there is none."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+def steps_of(url: Column) -> Column:
+    """The steps of the path in order, without empty ones."""
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
+    return F.filter(F.split(path, "/"), lambda step: step != "")
 
 
-def keys_of(url: Column) -> Column:
-    """What a list may hold about a URL: its host, each domain above it of two labels or more, and host and first step."""
-    host, step = host_of(url), path_of(url)
+def _domains_of(host: Column) -> Column:
+    """The host and each domain above it of two labels or more; none for an empty host."""
     labels = F.split(host, r"\.")
     tails = F.transform(F.sequence(F.lit(0), F.greatest(F.size(labels) - 2, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    with_step = F.when(step != "", F.array(F.concat_ws("/", host, step))).otherwise(F.array().cast("array<string>"))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(tails, with_step)))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(tails)
+
+
+def _paths_of(url: Column, deepest: int) -> Column:
+    """The first 1, 2, .. up to ``deepest`` steps of the path."""
+    steps = steps_of(url)
+    reach = F.least(F.size(steps), F.lit(deepest))
+    paths = F.transform(F.sequence(F.lit(1), F.greatest(reach, F.lit(1))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    return F.when(reach < 1, F.array().cast("array<string>")).otherwise(paths)
+
+
+def keys_of(urls: DataFrame, url: Column, deepest: int, name: str = "_keys") -> DataFrame:
+    """Add what a list may hold about a URL: its host, each domain above it of two labels or more, and any of them
+    with the first steps of the path, up to ``deepest``.
+    """
+    # Columns of their own first: inside the function over domains the paths would be made again for each domain.
+    parts = urls.withColumns({"_domains": _domains_of(host_of(url)), "_paths": _paths_of(url, deepest)})
+    under = F.transform("_domains", lambda d: F.transform("_paths", lambda p: F.concat(d, F.lit("/"), p)))
+    return parts.withColumn(name, F.array_distinct(F.concat("_domains", F.flatten(under)))).drop("_domains", "_paths")
+
+
+def _cleaned(entries: DataFrame) -> DataFrame:
+    """Entries without slashes at the end of their keys."""
+    return entries.withColumn("key", F.regexp_replace("key", "/+$", ""))
 
 
 def _ranged(rows: DataFrame, *order: str) -> DataFrame:
@@ -77,16 +99,21 @@ def as_of(captures: DataFrame, periods: DataFrame) -> DataFrame:
 def filtered(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """One row per row of ``captures``: ``id, host, fetched_at, n_listed, rule, valid_from, valid_to, blocked``.
 
-    A capture is blocked if any of its keys was listed when it was fetched; ``rule`` is the longest such key. A null or
+    An entry names a host or a domain above it in lower case, alone or with the first steps of a path; slashes at its end
+    do not count, nor do empty steps, queries and fragments of a URL.
+    A capture is blocked if any of its keys was listed when it was fetched; ``rule`` is the longest such key, of several the greatest. A null or
     odd URL has an empty host and no keys, a null time meets no entry: neither is blocked. Repeated rows are
     judged each. An empty list blocks nothing; an empty table gives no rows.
     """
-    rows = stored_table(
-        captures.select(
-            F.col(id_col).alias("id"), F.col(time_col).alias("fetched_at"), host_of(F.col(url_col)).alias("host"),
-            keys_of(F.col(url_col)).alias("_keys"), F.monotonically_increasing_id().alias("row_no"),
-        )
-    )
+    entries = _cleaned(entries)
+    # One number: no key of the list goes deeper, so no longer path of a capture can be on it.
+    deepest = entries.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    numbered = captures.select(
+        F.col(id_col).alias("id"), F.col(time_col).alias("fetched_at"), F.col(url_col).alias("_url"),
+        F.monotonically_increasing_id().alias("row_no"),
+    )
+    keyed = keys_of(numbered.withColumn("host", host_of(F.col("_url"))), F.col("_url"), deepest)
+    rows = stored_table(keyed.drop("_url"))
     periods = stored_table(intervals(entries))
     listed = stored_table(periods.select("key").distinct())
     asked = rows.filter("fetched_at IS NOT NULL").select("row_no", F.explode("_keys").alias("key"), F.col("fetched_at").alias("ts"))
