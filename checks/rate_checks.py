@@ -8,7 +8,8 @@ from checks import views as v
 from checks.registry import check
 from trialstats.functions.keys import owner, true_repo
 from trialstats.functions.states import initially_failing, is_invalid, succeeded
-from trialstats.operators import joins, passk, rates, tables
+from trialstats.operators import joins, passk, rates, sketches, tables
+from trialstats.operators.rates import RUN
 from trialstats.plans import quantiles
 from trialstats.plans.comparison import domain_table, with_key
 from trialstats.schema import TRIAL_SCHEMA
@@ -301,6 +302,27 @@ def a14(spark, sf):
     return rates.distinct_counts(v.trials(spark, sf).withColumn("owner", owner("task_id")), ["task_id", "owner"])
 
 
+@check("a14_distinct_tasks_rolled_up", v.with_views(f"SELECT {v.OWNER} AS owner, count(DISTINCT task_id) AS n_task_id, count(DISTINCT sample_index) AS n_sample_index FROM trials GROUP BY 1", T))
+def a14_rolled_up(spark, sf):
+    """Tasks of each owner from sketches of its runs; an owner has far fewer tasks than a sketch holds, so it is exact."""
+    named = v.trials(spark, sf).withColumn("owner", owner("task_id"))
+    columns = ["task_id", "sample_index"]
+    parts = sketches.distinct_sketches(named, ["owner", RUN], columns)
+    return sketches.sketched_counts(sketches.merged_sketches(parts, ["owner"], columns), ["owner"], columns)
+
+
+@check("a14_arm_overlap", v.with_views(
+    f"""SELECT owner, count(*) FILTER (a AND b) AS n_common, count(*) FILTER (a AND NOT b) AS n_only_treatment,
+          count(*) FILTER (b AND NOT a) AS n_only_control, count(*) FILTER (a OR b) AS n_either
+        FROM (SELECT {v.OWNER} AS owner, task_id, bool_or(final_state = 'pass') AS a, bool_or(base_state = 'pass') AS b
+              FROM trials GROUP BY 1, 2) GROUP BY 1 HAVING n_either > 0""", T))
+def a14_overlap(spark, sf):
+    """Tasks that either arm solved at least once, per owner: by both, by one alone."""
+    named = v.trials(spark, sf).withColumn("owner", owner("task_id"))
+    arms = [sketches.distinct_sketches(named.filter(F.col(c) == "pass"), ["owner"], ["task_id"]) for c in ("final_state", "base_state")]
+    return sketches.overlap(*arms, ["owner"], "task_id", ("treatment", "control"))
+
+
 @check("a15_distinct_values", v.with_views("SELECT DISTINCT task_id FROM trials", T))
 def a15(spark, sf):
     return v.trials(spark, sf).select("task_id").distinct()
