@@ -370,3 +370,12 @@ def test_histogram_as_numpy(spark):
     assert [r.bin_low for r in got] == pytest.approx(list(edges[:-1]))
     flat = histogram(spark.createDataFrame([(3.0,), (3.0,)], "v double"), "v", 5).orderBy("bin").collect()
     assert [r.n for r in flat] == list(np.histogram([3.0, 3.0], bins=5)[0])
+
+
+def test_one_population_in_a_report(spark, make_trials):
+    """Ids of another form share a key under ``repo``; pairs and rates of runs cover the same trials."""
+    ids = ["a__b-1", "plain", "other_form", "c__d"]
+    trials = make_trials([(t, 1, "fail", "pass" if t == "a__b-1" else "fail", "fail") for t in ids], control=True)
+    assert {r.pair_key for r in with_key(trials, "repo").collect()} == {"a/b", "mock_owner/mock_project"}
+    row = summary_row(trials, "repo").first()
+    assert row.n_pairs == 2 and row.mean_treatment == 50.0 and row.treatment_f2p == 25.0

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.functions.keys import compat_repo, owner, true_repo
+from trialstats.functions.keys import FALLBACK_REPO, compat_repo, owner, true_repo
 from trialstats.functions.states import decision, fixed, percent, yes_no
 from trialstats.operators.joins import attach_domain, latest
 from trialstats.operators.passk import pass_at_all
@@ -17,11 +17,15 @@ from trialstats.plans.running import join_null_safe
 from trialstats.session import stored_table
 from trialstats.sources.writers import metric_report
 
-_KEYS = {"owner": owner, "repo": true_repo, "compat": compat_repo}
+# Each gives every trial a key, so that all figures of a report cover the same trials.
+_KEYS = {"owner": owner, "repo": lambda task: F.coalesce(true_repo(task), F.lit(FALLBACK_REPO)), "compat": compat_repo}
 
 
 def with_key(trials: DataFrame, key: str = "repo", name: str = "pair_key", task: str = "task_id") -> DataFrame:
-    """Add the key that rates are paired on: the true ``repo``, the ``owner``, or the ``compat`` key."""
+    """Add the key that rates are paired on: the true ``repo``, the ``owner``, or the ``compat`` key.
+
+    No trial is left without one: ids of another form share a key, ``mock_owner/mock_project`` or ``Other``.
+    """
     return trials.withColumn(name, _KEYS[key](task))
 
 
@@ -75,7 +79,7 @@ def summary_row(
     """
     keyed = with_key(trials, key)
     counted = stored_table(keyed.groupBy("pair_key", RUN).agg(*paired_counts()))
-    pairs = rates_of_counts(counted.filter("pair_key IS NOT NULL"), ["pair_key", RUN])
+    pairs = rates_of_counts(counted, ["pair_key", RUN])
     sums = [F.sum(c).alias(c) for c in ("n_failing", "n_rescued", "n_control")]
     runs = rates_of_counts(counted.groupBy(RUN).agg(*sums), [RUN])
     means = runs.agg(F.struct(F.avg("f2p_treatment").alias("t"), F.avg("f2p_control").alias("c"))).scalar()
