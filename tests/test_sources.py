@@ -74,8 +74,24 @@ def test_columns_go_by_name(spark, tmp_path):
 
 def test_null_texts(spark, tmp_path):
     (tmp_path / "s.csv").write_text(HEADER + "a,1,NA,null\nb,2,fail,None\nc,3,,pass\n")
-    trials = readers.texts_to_null(readers.read_csv(spark, f"{tmp_path}/s.csv"))
-    assert rows(trials) == [("a", 1, None, None), ("b", 2, "fail", None), ("c", 3, None, "pass")]
+    for read in (readers.read_csv, readers.read_shards):
+        trials = read(spark, f"{tmp_path}/s.csv")
+        assert rows(trials) == [("a", 1, None, None), ("b", 2, "fail", None), ("c", 3, None, "pass")]
+        assert ("a", 1, "NA", "null") in rows(read(spark, f"{tmp_path}/s.csv", null_texts=()))
+
+
+def test_quoted_breaks_in_shards(spark, tmp_path):
+    """Texts over several lines stay whole, beside files without any, files of other headers and quotes never closed."""
+    wide = "task_id,sample_index,initial_state,note,final_state\n"
+    (tmp_path / "k1.csv").write_text(HEADER + "a,1,fail,pass\n")
+    (tmp_path / "k2.csv").write_text(HEADER + '"b\nb, ""b""",2,fail,pass\nb,x,fail,pass\nb,3,"fa\r\n\nil",pass\n')
+    (tmp_path / "k3.csv").write_text(wide + 'c,4,fail,"one\ntwo,5,fail,no,pass\n",pass\nc,6,fail,no,fail\n')
+    (tmp_path / "k4.csv").write_text(HEADER + 'd,7,fail,pass\n"d,8,fail,pass\nd,9,fail,pass\n')
+    got = rows(readers.read_shards(spark, f"{tmp_path}/k*.csv"))
+    assert ("b\nb, \"b\"", 2, "fail", "pass") in got and ("b", 3, "fa\n\nil", "pass") in [(a, b, c.replace("\r", ""), d) for a, b, c, d in got]
+    assert [r for r in got if r[0] == "c"] == [("c", 4, "fail", "pass"), ("c", 6, "fail", "fail")]
+    assert [r[1] for r in got if r[0] == "d"] == [7, 9] and len(got) == 7
+    assert {r[0] for r in rows(readers.rejected_lines(spark, f"{tmp_path}/k*.csv"))} == {"k2.csv", "k4.csv"}
 
 
 TASKS = [{"instance_id": f"o__r-{i}", "repo": "o/r", "target_function": f"f{i}", "function_doc": "d"} for i in range(3)]
@@ -119,6 +135,9 @@ def test_id_column_and_default_ids(spark):
     assert numbered.columns == ["instance_id", "n"]
     assert {r.instance_id for r in numbered.collect()} == {f"task_{i}" for i in range(25)}
     assert readers.with_task_id(numbered) is numbered
+    ordered = readers.with_task_id(spark.range(0, 1000, 1, 7).selectExpr("id AS n", "'x' AS _file_of"))
+    assert {(r.instance_id, r.n) for r in ordered.collect()} == {(f"task_{i}", i) for i in range(1000)}
+    assert readers.with_task_id(df.limit(0)).count() == 0
 
 
 def test_paths(spark, shards):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialstats.schema import TASK_SCHEMA, TRIAL_SCHEMA
-from trialstats.session import cut_lineage
+from trialstats.session import stored_table
 from trialstats.sources.paths import as_plain, base_name, first_lines, first_matching, qualified
 
 # A header line, and a quote in a quoted text is doubled.
@@ -28,16 +28,22 @@ NULL_TEXTS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None")
 ID_COLUMNS = ("instance_id", "task_id", "id", "index")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRIAL_SCHEMA) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType = TRIAL_SCHEMA, null_texts: Sequence[str] = NULL_TEXTS
+) -> DataFrame:
     """CSV with a header line: one file, a folder or a glob, in a single scan. Texts may hold quotes and line breaks.
 
-    A header of other names, or in another order, is an error: columns are never taken by position.
+    A header of other names, or in another order, is an error: columns are never taken by position. ``null_texts``
+    are read as nulls.
     """
-    return spark.read.schema(schema).options(**CSV).options(multiLine=True, enforceSchema=False).csv(path)
+    rows = spark.read.schema(schema).options(**CSV).options(multiLine=True, enforceSchema=False).csv(path)
+    return texts_to_null(rows, null_texts)
 
 
 def texts_to_null(df: DataFrame, texts: Sequence[str] = NULL_TEXTS) -> DataFrame:
     """Turn the null texts of string columns into nulls."""
+    if not texts:
+        return df
     return df.select(
         *[
             F.when(~F.col(f.name).isin(*texts), F.col(f.name)).alias(f.name)
@@ -53,23 +59,25 @@ def read_shards(
     patterns: str | Sequence[str],
     ignored: Sequence[str] = (),
     schema: T.StructType = TRIAL_SCHEMA,
+    null_texts: Sequence[str] = NULL_TEXTS,
 ) -> DataFrame:
     """Outcome shards of the first pattern that has files, less the files ignored by base name.
 
     Columns are matched by the names in each file's header: their order is free, missing ones are null, others are
     left out. Duplicates are kept. Lines that do not fit the schema, and all lines of a file that has none of its
-    columns, are dropped here; ``rejected_lines`` shows them.
+    columns, are dropped here; ``rejected_lines`` shows them. Quoted texts may hold line breaks; ``null_texts`` are
+    read as nulls.
     """
-    parsed = _parsed_shards(spark, patterns, ignored, schema)
-    return parsed.filter(F.col(CORRUPT).isNull() & _reads_all(schema)).select(*schema.fieldNames())
+    return _fitting(_parsed_shards(spark, patterns, ignored, schema), schema, null_texts)
 
 
-def read_shard_files(spark: SparkSession, files: Sequence[str], schema: T.StructType = TRIAL_SCHEMA) -> DataFrame:
+def read_shard_files(
+    spark: SparkSession, files: Sequence[str], schema: T.StructType = TRIAL_SCHEMA, null_texts: Sequence[str] = NULL_TEXTS
+) -> DataFrame:
     """Outcome shards of the files named, as ``read_shards`` reads those of a pattern."""
     if not files:
         return spark.createDataFrame([], schema)
-    parsed = _parsed_files(spark, [as_plain(path) for path in files], (), schema)
-    return parsed.filter(F.col(CORRUPT).isNull() & _reads_all(schema)).select(*schema.fieldNames())
+    return _fitting(_parsed_files(spark, [as_plain(path) for path in files], (), schema), schema, null_texts)
 
 
 def rejected_lines(
@@ -89,6 +97,11 @@ def _reads_all(schema: T.StructType) -> Column:
     return F.xxhash64(*schema.fieldNames()) >= F.lit(-(2**63))
 
 
+def _fitting(parsed: DataFrame, schema: T.StructType, null_texts: Sequence[str]) -> DataFrame:
+    fits = F.col(CORRUPT).isNull() & _reads_all(schema)
+    return texts_to_null(parsed.filter(fits).select(*schema.fieldNames()), null_texts)
+
+
 def _parsed_shards(
     spark: SparkSession, patterns: str | Sequence[str], ignored: Sequence[str], schema: T.StructType
 ) -> DataFrame:
@@ -102,12 +115,36 @@ def _parsed_shards(
 def _parsed_files(
     spark: SparkSession, pattern: str | list[str], ignored: Sequence[str], schema: T.StructType
 ) -> DataFrame:
-    groups = _by_header(spark, pattern, ignored)
-    parts = [_shards_of_header(spark, pattern, header, schema, files if len(groups) > 1 else None) for header, files in groups.items()]
+    broken = _files_with_breaks(spark, pattern)
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for header, files in _by_header(spark, pattern, ignored).items():
+        for path in files:
+            groups.setdefault((header, _one_form(path) in broken), []).append(path)
+    parts = [
+        _shards_of_header(spark, pattern, header, schema, files if len(groups) > 1 else None, breaks)
+        for (header, breaks), files in groups.items()
+    ]
     rows = reduce(DataFrame.unionByName, parts)
     return rows.filter(~F.col(SOURCE_FILE).isin(*ignored)) if ignored else rows
 
 
+def _one_form(path: str) -> str:
+    """A local file is written file:///a or file:/a, depending on who writes it."""
+    return re.sub("^file:/+", "file:/", path)
+
+
+def _files_with_breaks(spark: SparkSession, pattern: str | list[str]) -> set[str]:
+    """Files in which quoted texts go on over line breaks; only their names come back.
+
+    A text that is opened in one line and closed in another leaves two lines with an odd number of quotes. Where
+    the number of such lines is odd itself a quote was never closed: that is a bad line, and no break.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = spark.read.text(pattern).filter(F.col("value").contains('"') & (quotes % 2 == 1))
+    counted = odd.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
+    return {_one_form(r.path) for r in counted.filter("n % 2 = 0").collect()}
+
+
 def _by_header(spark: SparkSession, pattern: str | list[str], ignored: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by the names in their header line; only that line of a file is read here."""
     files = sorted(path for path in spark.read.text(pattern).inputFiles() if base_name(path) not in set(ignored))
@@ -119,9 +156,17 @@ def _by_header(spark: SparkSession, pattern: str | list[str], ignored: Sequence[
 
 
 def _shards_of_header(
-    spark: SparkSession, pattern: str | list[str], header: tuple[str, ...], schema: T.StructType, files: list[str] | None
+    spark: SparkSession,
+    pattern: str | list[str],
+    header: tuple[str, ...],
+    schema: T.StructType,
+    files: list[str] | None,
+    breaks: bool,
 ) -> DataFrame:
-    """``schema``, the text of a line that does not fit, and its file; of the files of one header, or of all."""
+    """``schema``, the text of a line that does not fit, and its file; of the files of one header, or of all.
+
+    Files with ``breaks`` in their texts are read by one task each, the others split freely.
+    """
     types = {f.name: f.dataType for f in schema.fields}
     named = [name for name in schema.fieldNames() if name in header]
     if not named or len(set(header)) < len(header):
@@ -132,11 +177,10 @@ def _shards_of_header(
         own, options = [T.StructField(name, types.get(name, T.StringType())) for name in header], CSV
     rows = spark.read.schema(T.StructType([*own, T.StructField(text, T.StringType())])).options(**options)
     if own:
-        rows = rows.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        rows = rows.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", breaks)
     rows = rows.csv(pattern)
     if files is not None:  # prunes the scan to these files
-        # A local file is written file:///a or file:/a, depending on who writes it.
-        forms = {form for path in files for form in (path, re.sub("^file:/+", "file:/", path))}
+        forms = {form for path in files for form in (path, _one_form(path))}
         rows = rows.filter(F.col("_metadata.file_path").isin(*sorted(forms)))
     columns = [F.col(f"`{f.name}`") if f.name in named and own else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
     return rows.select(*columns, F.col(text).alias(CORRUPT), F.col("_metadata.file_name").alias(SOURCE_FILE))
@@ -257,21 +301,18 @@ def id_column(df: DataFrame, candidates: Sequence[str] = ID_COLUMNS) -> str:
 def with_task_id(df: DataFrame, id_col: str = "instance_id", prefix: str = "task_") -> DataFrame:
     """Add ids ``task_0, task_1, ..`` in row order where the id column is missing.
 
-    Rows are numbered inside their partition, and partitions by the rows before them: two passes over
-    stored rows and no single-task sort.
+    Rows are stored once. Their place in a file is part of what Spark knows of a stored row, and the rows of each
+    file stand in its footer: so numbering reads no column, sorts nothing and shuffles one row per file.
     """
     if id_col in df.columns:
         return df
-    low = 33  # monotonically_increasing_id: partition number above bit 33, row number below
-    numbered = cut_lineage(df).withColumn("_n", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("_part", F.shiftright("_n", low)).withColumn(
-        "_row", F.col("_n").bitwiseAND((1 << low) - 1)
-    )
-    starts = numbered.groupBy("_part").agg(F.count("*").alias("_size"))
-    # One row per stored partition of the input.
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    return numbered.join(starts, "_part").select(
+    stored = stored_table(df).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = stored.groupBy("_file").agg(F.count("*").alias("_size"))
+    # Files are named by the partition that wrote them, and by their turn where it wrote several. One row per file.
+    place = [F.regexp_extract("_file", r"^part-([0-9]+)-.*-c([0-9]+)", n).cast("int") for n in (1, 2)]
+    earlier = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored_table(sizes.select("_file", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start")))
+    return stored.join(starts, "_file").select(
         F.concat(F.lit(prefix), (F.col("_start") + F.col("_row")).cast("string")).alias(id_col), *df.columns
     )
 
