@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.paired_checks import DOMAIN_VIEWS, Z_05, owner_pairs
+from checks.paired_checks import DOMAIN_VIEWS, TAILS, owner_pairs
 from checks.rate_checks import COMPAT
 from checks.registry import check
 from trialstats.functions import hashing, keys, states, text
@@ -127,11 +127,11 @@ def x8(spark, sf):
 
 @check(
     "x9_yes_no",
-    v.with_views(f"SELECT g AS domain, CASE WHEN z > {Z_05} THEN 'Yes' ELSE 'No' END AS rejected FROM compared", *DOMAIN_VIEWS),
+    v.with_views("SELECT g AS domain, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS rejected FROM tails", *DOMAIN_VIEWS, TAILS),
 )
 def x9(spark, sf):
     pairs = joins.attach_domain(owner_pairs(spark, sf), v.domains(spark, sf))
-    compared = paired.paired_comparison(pairs, group_cols=["domain"], with_p=False).withColumn("flag", F.col("z") > Z_05)
+    compared = paired.paired_comparison(pairs, group_cols=["domain"], method="asymptotic").withColumn("flag", F.col("p_value") < 0.05)
     return compared.select("domain", states.yes_no("flag").alias("rejected"))
 
 

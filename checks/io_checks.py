@@ -62,6 +62,24 @@ def s4(spark, sf):
     return readers.rejected_lines(spark, f"{path}/part-*.csv").agg(F.count("*").alias("n_rejected"))
 
 
+@check("s4_rejected_texts", "SELECT concat(event_id, ',', event_type) AS line FROM events")
+def s4_texts(spark, sf):
+    """Every rejected line as it stands in its file."""
+    path = csv_shards(spark, sf, "shards")
+    v.table(spark, sf, "events").select("event_id", "event_type").write.mode("append").option("header", True).csv(path)
+    return readers.rejected_lines(spark, f"{path}/part-*.csv").select("line")
+
+
+@check("s1_quoted_breaks", "SELECT o_orderkey, concat(o_orderstatus, chr(10), '\"', o_orderpriority, '\",', chr(10)) AS note, o_totalprice FROM orders")
+def s1_breaks(spark, sf):
+    """Shards with texts over several lines, beside shards without any."""
+    path = shared_path(spark, "shards")
+    note = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('",\n'))
+    orders = v.table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
+    writers.write_csv(orders, path)
+    return readers.read_shards(spark, f"{path}/part-*.csv", schema=orders.schema)
+
+
 @check("s4_kept_lines", v.with_views(ALL_TRIALS, T))
 def s4_kept(spark, sf):
     path = csv_shards(spark, sf, "shards")
@@ -144,6 +162,16 @@ def s14(spark, sf):
     return lines.groupBy("state").agg(F.count("*").alias("n_lines"), F.count_if(F.col("error_msg") != "").alias("n_errors"))
 
 
+@check("s14_log_rows", v.with_views(
+    """SELECT epoch_us(ts) AS micros, 'model-a' AS model, task_id, sample_index, state, round(cost, 6) AS cost, error_msg FROM runlog""", v.RUNLOG))
+def s14_rows(spark, sf):
+    """Every line of the log as it was written, all fields."""
+    path = shared_path(spark, "log")
+    writers.append_log(v.runlog(spark, sf).withColumn("model", F.lit("model-a")), path)
+    lines = spark.read.text(path).select(*text.parsed_log("value"))
+    return lines.withColumn("micros", F.unix_micros("ts")).drop("ts")
+
+
 @check(
     "s16_remaining_trials",
     v.with_views(
@@ -182,6 +210,12 @@ def p9(spark, sf):
     )
 
 
+@check("p9_ids_in_row_order", "SELECT concat('task_', row_number() OVER (ORDER BY event_id) - 1) AS instance_id, event_id, user_id FROM events")
+def p9_rows(spark, sf):
+    """Ids of all rows, which were put in order beforehand."""
+    return readers.with_task_id(v.table(spark, sf, "events").select("event_id", "user_id").orderBy("event_id"))
+
+
 @check(
     "p10_table_profile",
     """SELECT count(*) AS n_rows, 6::BIGINT AS n_columns,

@@ -20,8 +20,6 @@ from trialstats.plans.running import running_totals
 
 T = v.TRIALS
 
-# z beyond which the upper tail is below 0.05.
-Z_05 = 1.6448536269514722
 
 
 def owner_pairs(spark, sf):
@@ -282,8 +280,9 @@ def t5(spark, sf):
 @check(
     "t6_decision",
     v.with_views(
-        f"""SELECT g AS domain, z > {Z_05} AND mean_treatment > 16.06 AS rejected FROM compared""",
+        "SELECT g AS domain, p < 0.05 AND mean_treatment > 16.06 AS rejected FROM compared JOIN tails USING (g)",
         *DOMAIN_VIEWS,
+        TAILS,
     ),
 )
 def t6(spark, sf):
@@ -355,7 +354,7 @@ def compare_repo(spark, sf):
           UNION ALL SELECT 'Effect_Size_Cliffs_Delta', printf('%.4f', cliffs_delta) FROM compared
           UNION ALL SELECT 'Effect_Size_Description',
             CASE WHEN abs(cliffs_delta) < 0.2 THEN 'Negligible' WHEN abs(cliffs_delta) < 0.5 THEN 'Medium' ELSE 'Large' END FROM compared
-          UNION ALL SELECT 'Reject_H0', CASE WHEN z > {Z_05} AND mean_treatment > 16.06 THEN 'Yes' ELSE 'No' END FROM compared)""",
+          UNION ALL SELECT 'Reject_H0', CASE WHEN p < 0.05 AND mean_treatment > 16.06 THEN 'Yes' ELSE 'No' END FROM compared, tails)""",
         T,
         v.PAIRS,
         OVERALL,

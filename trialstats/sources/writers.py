@@ -12,8 +12,8 @@ from trialstats.schema import TRIAL_KEY, TRIAL_SCHEMA
 from trialstats.sources.paths import matching
 
 
-# As ``readers.CSV`` reads it.
-CSV_OUT = {"header": True, "quote": '"', "escape": '"'}
+# As ``readers.CSV`` reads it; blanks and breaks at the ends of a text are part of it.
+CSV_OUT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
