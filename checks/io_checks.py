@@ -228,8 +228,9 @@ def p10(spark, sf):
 # --- streams --------------------------------------------------------------------------------------
 
 
-# Micro-batches that a feed takes at least.
+# Micro-batches that a feed takes at least, and files of one: a file is read by few tasks, however large it is.
 BATCHES = 4
+FILES = 24
 
 
 def mixed_shards(spark, sf, name):
@@ -261,8 +262,8 @@ def m1(spark, sf):
 def m2(spark, sf):
     shipped = v.table(spark, sf, "lineitem").select(v.task_of_line().alias("task_id"), F.col("l_linenumber").alias("sample_index"), *v.states_of_line(), F.col("l_shipdate").cast("timestamp").alias("ts"))
     shards, out = shared_path(spark, "shards"), shared_path(spark, "results")
-    shipped.repartition(BATCHES).write.parquet(shards)
-    stream = spark.readStream.schema(shipped.schema).option("maxFilesPerTrigger", 1).parquet(shards)
+    shipped.repartition(BATCHES * FILES).write.parquet(shards)
+    stream = spark.readStream.schema(shipped.schema).option("maxFilesPerTrigger", FILES).parquet(shards)
     feeds.result_feed(stream, out, f"{out}-state").awaitTermination()
     return feeds.result_table(spark, out).select(*COLUMNS)
 

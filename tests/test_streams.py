@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import os
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
@@ -153,6 +154,80 @@ def test_rows_are_combined_before_the_shuffle():
     assert out.to_pylist() == [{"k": "x", "v": None, feeds._MILLIS: 9}, {"k": None, "v": 1, feeds._MILLIS: 6}]
 
 
+def test_keys_of_a_bucket_share_a_state(spark, tmp_path):
+    """Many keys are held in few states, and repeats of any of them are found there."""
+    folder, out, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    keys = [(f"t{i}", 1, i % 20, "pass", 1.0) for i in range(500)]
+    result_batches(spark, folder, [keys, [*keys, ("t7", 1, 0, "fail", 1.0), ("new", 1, 0, "fail", None)]])
+    query = feed(spark, folder, out, state, buckets=3)
+    # The states of three buckets: one part of each batch that changed it.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 6
+    found = spark.read.parquet(out)
+    assert found.count() == 502 and found.filter("version = 2").select("task_id", "state").collect() == [("t7", "fail")]
+    assert feeds.result_table(spark, out).count() == 501
+
+
+class Parts:
+    """A list state and the timer of one bucket."""
+
+    def __init__(self):
+        self.parts, self.timer, self.most = [], None, 0
+
+    def get(self):
+        return iter(self.parts)
+
+    def appendValue(self, part):  # noqa: N802
+        self.parts = [*self.parts, part]
+        self.most = max(self.most, len(self.parts))
+
+    def put(self, parts):
+        self.parts = list(parts)
+
+    def clear(self):
+        self.parts = []
+
+    def registerTimer(self, at):  # noqa: N802
+        assert self.timer is None
+        self.timer = at
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+
+def test_a_bucket_over_many_batches():
+    """The least row of each key by the order of Spark, new versions alone, few parts, and nothing held that is over."""
+    random, state = np.random.default_rng(5), Parts()
+    choice = feeds._Choice(["k"], ["v", "x", "l"])
+    choice.handle = choice.parts = state
+    least, versions, seen = {}, {}, 0
+    for n in range(60):
+        rows = [
+            {"k": random.choice(["a", "b", "c", None, f"n{n}"]), "v": random.choice([None, 0.0, -0.0, 1.5, float("nan")]), "x": random.choice([None, "b", "a"]), "l": [None, [2], [1, 3]][random.integers(3)], feeds._MILLIS: int(n * 10 + random.integers(10))}
+            for _ in range(4)
+        ]
+        schema = pa.schema([("k", pa.string()), ("v", pa.float64()), ("x", pa.string()), ("l", pa.list_(pa.int64())), (feeds._MILLIS, pa.int64())])
+        now, before = Now(max(n * 10 - 100, 0)), dict(least)
+        for r in rows:
+            rank = feeds._order([r["v"], r["x"], r["l"]])
+            least[r["k"]] = min(least.get(r["k"], rank), rank)
+        packed = [feeds._stored(pa.Table.from_pylist(rows[:2], schema)), feeds._stored(pa.Table.from_pylist(rows[2:], schema))]
+        got = [r for o in choice.handleInputRows((0,), iter([{feeds._ROWS: p} for p in packed]), now) for r in feeds._opened(o[feeds._ROWS]).to_pylist()]
+        for r in got:
+            versions[r["k"]] = min(versions.get(r["k"], feeds._order([r["v"], r["x"], r["l"]])), feeds._order([r["v"], r["x"], r["l"]]))
+        assert versions == least and {k for k in least if least[k] != before.get(k)} <= {r["k"] for r in got}
+        if state.timer is not None and state.timer <= now.at:
+            state.timer = None
+            assert list(choice.handleExpiredTimer((0,), now, None)) == []
+            seen += 1
+            assert all(m > now.at for p in state.parts for m in feeds._opened(p[0])[feeds._MILLIS].to_pylist())
+    assert seen > 3 and state.most <= feeds._PARTS and len(least) > 20
+
+
 def run_log(spark, times):
     return spark.createDataFrame(
         [(t, f"t{i}", 1, "INVALID" if i % 2 else "pass", "HTTP 503" if i % 4 == 1 else "") for i, t in enumerate(times)],
