@@ -162,6 +162,38 @@ def test_rake_against_numpy(spark):
         assert m == pytest.approx(mass[2 if s is None else int(s[1]), int(lang[1])], rel=1e-5)
 
 
+def test_rake_runs_one_job_per_sweep(spark):
+    """Thirty sweeps over contradictory targets, values of three dimensions and nulls: the masses of NumPy, and no job but one per sweep."""
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, 50, (6, 3, 4)) * (rng.random((6, 3, 4)) < 0.6)
+    names = [[None, *range(1, 6)], ["a", None, "c"], [f"t{c}" for c in range(4)]]
+    rows = [(names[0][a], names[1][b], names[2][c], int(tokens[a, b, c])) for a in range(6) for b in range(3) for c in range(4)]
+    cells = spark.createDataFrame(rows, "source int, lang string, topic string, tokens bigint")
+    wants = [rng.random(n) + 0.1 for n in tokens.shape]
+    wants[0][2] = 0  # a value without a share
+    targets = {
+        k: spark.createDataFrame([(v, float(w)) for v, w in zip(names[i], wants[i], strict=True)], f"{k} {'int' if i == 0 else 'string'}, share double")
+        for i, k in enumerate(("source", "lang", "topic"))
+    }
+    spark.sparkContext.setJobGroup("rake", "thirty sweeps")
+    fitted = mixing.rake(cells, targets, sweeps=30, tolerance=-1.0)
+    spark.sparkContext.setJobGroup("other", "")
+    assert fitted.columns == [*cells.columns, "mass"]
+    got = {(r.source, r.lang, r.topic): r.mass for r in fitted.collect()}
+    mass = tokens.astype(float)
+    for _ in range(30):
+        for axis, want in enumerate(wants):
+            rest = tuple(i for i in range(3) if i != axis)
+            live = want * (tokens.sum(rest) > 0)
+            sums = mass.sum(rest)
+            factor = np.where(sums > 0, live / live.sum() * tokens.sum() / np.where(sums > 0, sums, 1), 0)
+            mass *= factor.reshape([-1 if i == axis else 1 for i in range(3)])
+    assert len(got) == len(rows)
+    for a, b, c in np.ndindex(*tokens.shape):
+        assert got[names[0][a], names[1][b], names[2][c]] == pytest.approx(mass[a, b, c], rel=1e-9, abs=1e-12)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rake")) <= 30 * 2 + 60
+
+
 def test_mixture(spark):
     rows = [(i, prose(i, 20), f"l{i % 3}", f"s{i % 2}" if i % 7 else None) for i in range(400)]
     docs = documents(spark, rows + [(None, None, None, None), (5, "", "l0", "s0")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,35 +33,98 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return sums.select(dimension, F.pow("t", F.lit(power)).alias("share"))
 
 
+def _numbers(values: np.ndarray) -> Column:
+    """A constant array of doubles."""
+    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+
+
+def _row_factor(factors: Column) -> Column:
+    """The factor that gives a row of cells its wanted mass, where the places of the cells have these factors."""
+    masses = F.zip_with("_at", "_tokens", lambda at, tokens: tokens * F.get(factors, at))
+    have = F.aggregate(masses, F.lit(0.0), lambda x, y: x + y)
+    return F.when(have > 0, F.col("wanted") / have).otherwise(0.0)
+
+
+def _swept(rows: DataFrame, trail: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """The masses by place of the next sweep, once the first dimension is scaled, and what the sweep before moved.
+
+    ``trail`` ends with the factors of the places after the last three sweeps, or fewer.
+    """
+    ends = [_numbers(x) for x in trail]
+    now = rows.select("*", *[_row_factor(x).alias(f"_by{i}") for i, x in enumerate(ends)])
+
+    def mass(i: int, at: Column, tokens: Column) -> Column:
+        return tokens * F.col(f"_by{i - 1}") * F.get(ends[i], at) if i else tokens
+
+    last = len(ends) - 1
+    scaled = F.zip_with("_at", "_tokens", lambda at, tokens: F.struct(at.alias("at"), (tokens * F.col(f"_by{last}") * F.get(ends[last], at)).alias("mass")))
+    if last:
+        steps = F.zip_with("_at", "_tokens", lambda at, tokens: F.abs(mass(last, at, tokens) - mass(last - 1, at, tokens)))
+        moved = F.aggregate(steps, F.lit(0.0), lambda x, y: x + y)
+        scaled = F.concat(scaled, F.array(F.struct(F.lit(-1).alias("at"), moved.alias("mass"))))
+    sums = dict(now.select(F.inline(scaled)).groupBy("at").agg(F.sum("mass")).collect())
+    return np.array([sums.get(i, 0.0) for i in range(len(trail[-1]))]), sums.get(-1, 0.0)
+
+
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with ``mass``: their ``tokens`` scaled until each dimension has its target shares of all tokens.
 
-    Shares are taken in proportion over the values that have tokens; a value without a share gets no mass. A
-    sweep is three small aggregates, joined back and written, until a sweep moves less than ``tolerance`` of
-    all mass. Where targets contradict each other the last dimension holds.
+    Shares are taken in proportion over the values that have tokens; a value without a share gets no mass. Where targets
+    contradict each other the last dimension holds. A mass is the tokens times one factor per dimension. The cells of a value of the first
+    dimension, which may have many, are one stored row; what the steps of the others need of them is their sum by the values of
+    the other dimensions. So a sweep is one job, whose shuffle carries a row per task and combination of the other dimensions, and the
+    driver holds a number per combination. Sweeps end when one moves less than ``tolerance`` of all mass.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = {}
     for name, shares in targets.items():
         live = cells.filter("tokens > 0").select(name).distinct()
-        live = stored_table(join_same(shares.filter("share > 0"), live, [name], "left_semi"))
-        whole = live.agg(F.sum("share")).first()[0] or 1.0
-        wanted[name] = stored_table(live.select(name, (F.col("share") / whole * total).alias("wanted")))
-    fitted = stored_table(cells.select("*", F.col("tokens").cast("double").alias("mass")))
-    for _ in range(sweeps):
-        swept = fitted.select("*", F.col("mass").alias("_before"))
-        for name, want in wanted.items():
-            sums = swept.groupBy(name).agg(F.sum("mass").alias("_sum"))
-            factor = join_same(sums, want, [name], "left").select(
-                name, F.when(F.col("_sum") > 0, F.coalesce("wanted", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_factor")
-            )
-            swept = join_same(swept, factor, [name], "inner").withColumn("mass", F.col("mass") * F.col("_factor")).drop("_factor")
-        fitted = stored_table(swept)
-        moved = fitted.agg(F.sum(F.abs(F.col("mass") - F.col("_before")))).first()[0]
-        fitted = fitted.drop("_before")
-        if moved is None or moved <= tolerance * total:
+        live = join_same(shares.filter("share > 0").groupBy(name).agg(F.sum("share").alias("share")), live, [name], "left_semi")
+        wanted[name] = stored_table(live)
+    whole = {name: live.agg(F.sum("share")).first()[0] or 1.0 for name, live in wanted.items()}
+    if not targets or sweeps < 1:
+        return stored_table(cells.select("*", F.col("tokens").cast("double").alias("mass")))
+    first, *others = targets
+    if others:
+        met = cells.agg(F.array_sort(F.collect_set(F.struct(*others))).alias("_met"))
+        place = stored_table(met.select(F.posexplode("_met").alias("_place", "_values")).select("_place", "_values.*"))
+        places = [tuple(r)[1:] for r in sorted(place.collect(), key=lambda r: r[0])]
+        placed = join_same(cells, place, others, "inner")
+    else:
+        places, placed = [()], cells.withColumn("_place", F.lit(0))
+    if not places:
+        return stored_table(cells.select("*", F.col("tokens").cast("double").alias("mass")))
+    cell = F.struct("_place", F.col("tokens").cast("double").alias("_tokens"))
+    held = placed.filter("tokens IS NOT NULL").groupBy(first).agg(F.collect_list(cell).alias("_cells"))
+    mass = F.coalesce(F.col("share") / whole[first] * total, F.lit(0.0)).alias("wanted")
+    rows = join_same(held, wanted[first], [first], "left").select(first, F.col("_cells._place").alias("_at"), F.col("_cells._tokens").alias("_tokens"), mass)
+    rows = stored_table(rows)
+
+    steps = []  # of each other dimension: which of its values a place has, and the mass that each value should have
+    for k, name in enumerate(others):
+        values = {v: i for i, v in enumerate({p[k] for p in places})}
+        goal = np.zeros(len(values))
+        for r in wanted[name].collect():
+            goal[values[r[name]]] = r.share / whole[name] * total
+        steps.append((np.array([values[p[k]] for p in places], np.int64), goal))
+    trail = [np.ones(len(places))]
+    for sweep in range(sweeps):
+        now, moved = _swept(rows, trail)
+        if sweep and moved <= tolerance * total:
             break
-    return fitted
+        factors = trail[-1]
+        for value, goal in steps:
+            sums = np.bincount(value, now, minlength=len(goal))
+            scale = np.where(sums > 0, goal / np.where(sums > 0, sums, 1), 0.0)[value]
+            factors, now = factors * scale, now * scale
+        trail = [*trail, factors][-3:]
+    fitted = join_same(cells, rows.select(first, _row_factor(_numbers(trail[-2])).alias("_first")), [first], "left")
+    if others:
+        fitted = join_same(fitted, place.select(*others, F.get(_numbers(trail[-1]), "_place").alias("_other")), others, "left")
+    else:
+        fitted = fitted.withColumn("_other", F.lit(1.0))
+    fitted = fitted.withColumn("mass", F.col("tokens") * F.col("_first") * F.col("_other"))
+    return stored_table(fitted.drop("_first", "_other"))
 
 
 def calibration(cells: DataFrame, budget: float) -> float:
