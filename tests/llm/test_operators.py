@@ -162,8 +162,8 @@ def test_rake_against_numpy(spark):
         assert m == pytest.approx(mass[2 if s is None else int(s[1]), int(lang[1])], rel=1e-5)
 
 
-def test_rake_runs_one_job_per_sweep(spark):
-    """Thirty sweeps over contradictory targets, values of three dimensions and nulls: the masses of NumPy, and no job but one per sweep."""
+def test_rake_runs_few_jobs_per_sweep(spark):
+    """Thirty sweeps over contradictory targets, values of three dimensions and nulls: the masses of NumPy, and two Spark jobs per sweep at most."""
     rng = np.random.default_rng(5)
     tokens = rng.integers(0, 50, (6, 3, 4)) * (rng.random((6, 3, 4)) < 0.6)
     names = [[None, *range(1, 6)], ["a", None, "c"], [f"t{c}" for c in range(4)]]

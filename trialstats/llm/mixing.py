@@ -72,7 +72,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEP
     Shares are taken in proportion over the values that have tokens; a value without a share gets no mass. Where targets
     contradict each other the last dimension holds. A mass is the tokens times one factor per dimension. The cells of a value of the first
     dimension, which may have many, are one stored row; what the steps of the others need of them is their sum by the values of
-    the other dimensions. So a sweep is one job, whose shuffle carries a row per task and combination of the other dimensions, and the
+    the other dimensions. So a sweep is one aggregate, whose shuffle carries a row per task and combination of the other dimensions, and the
     driver holds a number per combination. Sweeps end when one moves less than ``tolerance`` of all mass.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
