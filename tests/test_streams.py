@@ -167,6 +167,24 @@ def test_keys_of_a_bucket_share_a_state(spark, tmp_path):
     assert feeds.result_table(spark, out).count() == 501
 
 
+def test_state_stores_follow_the_cores(spark, tmp_path):
+    """Shuffle partitions made for batches are not as many state stores, each of which every micro-batch writes out."""
+    folder, name = f"{tmp_path}/in", "spark.sql.shuffle.partitions"
+    result_batches(spark, folder, [[(f"t{i}", 1, 0, "pass", 1.0) for i in range(50)], [("t7", 1, -1, "fail", 1.0)]])
+    had, found = spark.conf.get(name), []
+    try:
+        spark.conf.set(name, "60")
+        for k, more in enumerate(({}, {"stores": 3})):
+            query = feed(spark, folder, f"{tmp_path}/out{k}", f"{tmp_path}/state{k}", **more)
+            assert spark.conf.get(name) == "60"
+            stores = {p["stateOperators"][0]["numShufflePartitions"] for p in query.recentProgress}
+            table = feeds.result_table(spark, f"{tmp_path}/out{k}")
+            found.append((stores, table.count(), table.filter("state = 'fail'").select("task_id").collect()))
+    finally:
+        spark.conf.set(name, had)
+    assert found == [({2 * spark.sparkContext.defaultParallelism}, 50, [("t7",)]), ({3}, 50, [("t7",)])]
+
+
 class Parts:
     """A list state and the timer of one bucket."""
 
