@@ -194,6 +194,21 @@ def test_log_lines(spark, tmp_path):
     assert rows(odd) == [(None,) * 7]
 
 
+def test_odd_log_lines_are_parsed_at_once(spark):
+    """Labels inside the last field, line ends of other kinds, breaks as written, and lines of another form; no search for each field."""
+    from trialstats.functions.text import parsed_log
+
+    head = "Timestamp: 1.5 | Model: m$1 | Task:  | Sample: x | State: \\n | Cost: 7 | Errors: "
+    ends = [" | Task: b | Errors: \\\\n\\n", "a\n", "a\r\n", "a\u2028", "a\u2028b", "a\nb", "", None]
+    lines = spark.createDataFrame([(i, None if e is None else head + e) for i, e in enumerate(ends)] + [(9, "\n" * 8)], "i int, value string")
+    parsed = lines.select("i", *parsed_log("value"))
+    found = {r.i: (r.model, r.task_id, r.sample_index, r.state, r.cost, r.error_msg) for r in parsed.collect()}
+    assert found.pop(0) == ("m$1", "", None, "\\n", 7.0, " | Task: b | Errors: \\n\n")
+    assert {i: f[5] for i, f in found.items()} == {1: "a", 2: "a", 3: "a", 4: None, 5: None, 6: "", 7: None, 9: None}
+    assert all(f == (None,) * 6 for i, f in found.items() if i in (4, 5, 7, 9))
+    assert "regexp_extract" not in parsed._jdf.queryExecution().toString()
+
+
 def test_rendered_nulls(spark):
     from trialstats.functions.text import render
 

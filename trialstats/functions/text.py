@@ -65,9 +65,12 @@ def log_line(ts: str, model: str, task_id: str, sample_index: str, state: str, c
 def parsed_log(line: str) -> list[Column]:
     """Typed columns of a run-log line; a line of another form gives nulls in all of them."""
     c = F.col(line)
+    # All fields by one replacement, not each by a search of its own: no field holds the break that ends each of them here.
+    taken = F.regexp_replace(c, _LOG_PATTERN, "".join(f"${i}\n" for i in range(1, len(LOG_LABELS) + 1)))
+    fields = F.when(c.rlike(_LOG_PATTERN), F.split(taken, "\n"))
 
     def field(i: int) -> Column:
-        return F.when(c.rlike(_LOG_PATTERN), F.regexp_extract(c, _LOG_PATTERN, i))
+        return fields[i - 1]
 
     seconds = field(1).try_cast("decimal(20,6)")
     return [
