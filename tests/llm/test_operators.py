@@ -378,6 +378,41 @@ def test_passages_whose_seeds_all_lead_elsewhere(spark):
     assert got == [(51, 10, 64, 50, 30, 1.0)]
 
 
+def every_fifth_other(words, seed):
+    other = prose(seed, len(words)).split()
+    return [o if k % 5 == 4 else w for k, (w, o) in enumerate(zip(words, other, strict=True))]
+
+
+def test_passages_that_differ_in_every_fifth_word(spark):
+    """No five words in a row are the same in both."""
+    shared = prose(600, 80).split()
+    rows = [(1, f"{prose(601, 30)} {' '.join(shared)} {prose(602, 30)}"), (2, f"{prose(603, 20)} {' '.join(every_fifth_other(shared, 604))} {prose(605, 20)}")]
+    got = passages.repeated_passages(documents(spark, rows)).collect()
+    assert [(r.doc_id, r.from_word, r.to_word, r.ref_id, r.ref_from, r.ref_to) for r in got] == [(2, 20, 99, 1, 30, 109)]
+    assert 0.8 <= got[0].identity < 0.82
+
+
+def test_passages_of_later_documents_whose_seeds_lead_elsewhere(spark):
+    """Earlier documents hold every seed in short fragments, and no 25 words in a row are the same in the two later ones."""
+    shared = prose(610, 90).split()
+    changed = [f"x{k}" if k % 12 == 11 else w for k, w in enumerate(shared)]
+    rows = [(k, f"{prose(620 + k, 20)} {' '.join(shared[s : s + 18])} {prose(640 + k, 20)}") for k, s in enumerate(range(0, 73, 4))]
+    rows += [(50, f"{prose(660, 30)} {' '.join(shared)} {prose(661, 30)}"), (51, f"{prose(662, 10)} {' '.join(changed)} {prose(663, 10)}")]
+    got = passages.repeated_passages(documents(spark, rows)).collect()
+    assert [(r.doc_id, r.from_word, r.to_word, r.ref_id, r.ref_from, r.ref_to) for r in got] == [(51, 10, 100, 50, 30, 120)]
+
+
+def test_passages_of_common_windows_only(spark):
+    """More than ``FEW`` documents hold each window of the passage, in another order and with other words between."""
+    phrases = [prose(700 + k, 4) for k in range(16)]
+    rng = random.Random(5)
+    mixed = lambda seed: f"{prose(seed, 3)} " + " ".join(f"{p} {prose(seed + k + 1, 3)}" for k, p in enumerate(rng.sample(phrases, len(phrases))))
+    rows = [(k, mixed(1000 + 100 * k)) for k in range(passages.FEW + 4)]
+    rows += [(60 + k, f"{prose(9000 + k, 20)} " + " ".join(f"{p} {w}" for p, w in zip(phrases, prose(9100 + k, 16).split(), strict=True))) for k in range(2)]
+    got = passages.repeated_passages(documents(spark, rows)).collect()
+    assert [(r.doc_id, r.from_word, r.to_word, r.ref_id, r.ref_from, r.ref_to) for r in got] == [(61, 20, 99, 60, 20, 99)]
+
+
 def test_edits_and_longest_stretch():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -460,6 +495,16 @@ def test_alignment_along_runs_is_no_better_than_the_best():
         assert (quick[4] >= passages.IDENTITY) == (plain[4] >= passages.IDENTITY)
 
 
+def test_alignment_at_the_edge_of_the_threshold():
+    """60 words allow twelve edits: a chain with more does not pass for one of twelve, and twelve words left out do."""
+    a = np.arange(60, dtype=np.int32)
+    other = a + 1000
+    other[:4], other[50:54], other[56:] = a[:4], a[20:24], a[56:]
+    assert passages.aligned(a, other, (0, 60), (0, 60), np.array([0, 0, 4, 20, 50, 4, 56, 56, 4]))[4] < 0.8
+    left = np.delete(a, range(2, 60, 5))
+    assert len(left) == 48 and passages.aligned(a, left, (0, 60), (0, 48))[4] == 0.8
+
+
 def test_edit_distance():
     a, b = np.array(list(b"kitten sitting")), np.array(list(b"sitting kitten"))
     assert passages.edit_distance(np.array(list(b"kitten")), np.array(list(b"sitting")), 5) == 3
