@@ -9,15 +9,18 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from trialstats import session
 from trialstats.llm import line_dedup, mixing, passages, personal_data, quality, registered, secret_scan, simhash, url_filter
 from trialstats.llm.components import connected
 from trialstats.llm.decontaminate import contamination, drop_contaminated
 from trialstats.llm.exact_dedup import drop_exact_copies, exact_groups, merged
+from trialstats.session import removing_stored
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, cut string, _id string"
 
@@ -413,6 +416,61 @@ def test_passages_of_common_windows_only(spark):
     assert [(r.doc_id, r.from_word, r.to_word, r.ref_id, r.ref_from, r.ref_to) for r in got] == [(61, 20, 99, 60, 20, 99)]
 
 
+def test_passages_leave_little_behind(spark):
+    """Tables that no plan reads any more go while the passages are looked for: only those of the result stay."""
+    words = [f"w{k}" for k in range(90)]
+    with removing_stored(spark):
+        before = set(session._STORED)
+        docs = documents(spark, [(1, " ".join(words)), (2, " ".join(["x", *words]))])
+        assert [(r.doc_id, r.ref_id) for r in passages.repeated_passages(docs).collect()] == [(2, 1)]
+        left = [c for p in session._STORED if p not in before for c in spark.read.parquet(p).columns]
+    assert not {"seed", "win", "words", "short", "keys", "gram"} & set(left)
+
+
+def test_windows_that_stand_in_two_places(spark):
+    """Blocks and buckets find each window that another place has, with its document, its place and the word after it."""
+    rng = np.random.default_rng(5)
+    texts = {d: rng.integers(0, 9, n).astype(np.uint16) for d, n in ((7, 300), (2, 25), (9, 4000), (4, 1200))}
+    had = {7: [{"from_word": 0, "to_word": 250}], 4: [{"from_word": 30, "to_word": 1200}]}
+    rows = pd.DataFrame({"doc": list(texts), "short": [t.tobytes() for t in texts.values()], "had": [had.get(d) for d in texts]})
+    new = [passages._in_no(had.get(d), len(t)) for d, t in texts.items()]
+    blocks = [passages._block(k, rows["doc"].tolist()[s], rows["short"].tolist()[s], new[s]) for k, s in enumerate((slice(0, 2), slice(2, 4)))]
+    keys = pd.concat(passages._key_rows(iter(blocks))).sort_values("bucket", kind="stable")
+    held = pd.concat(passages._held_rows(iter([keys.iloc[:500], keys.iloc[500:]])))
+    asked = [b.assign(held=[[{"bucket": x.bucket, "held": x.held} for x in held[held["block"] == k].itertuples()]]) for k, b in enumerate(blocks)]
+    got = set()
+    for part in passages._held_windows(iter(asked)):
+        hashes = passages._keys_of(part)[0] << np.uint64(20) | passages._of_planes(part["rest"].tolist(), np.uint32)
+        columns = [passages._of_planes(part[c].tolist(), kind) for c, kind in (("doc", np.int64), ("at", np.int32), ("info", np.int32))]
+        got |= set(zip(hashes.tolist(), *(c.tolist() for c in columns), strict=True))
+
+    grams = {d: passages._mixed(passages._fours(t)).tolist() for d, t in texts.items()}
+    often = Counter(g for x in grams.values() for g in x)
+    wanted = set()
+    for (d, t), no in zip(texts.items(), new, strict=True):
+        fresh = [no[i : i + 4].any() for i in range(len(t) - 3)]
+        for i, g in enumerate(grams[d]):
+            if often[g] > 1:
+                after = int(t[i + 4]) + 1 if i + 4 < len(t) else 0
+                far = passages.STEP + passages.PIECE
+                flags = any(fresh[max(i - 21, 0) : i + 1]) * passages._IN_RUN | any(fresh[max(i - far, 0) : i + far + 1]) * passages._NEAR
+                wanted.add((g, d, i, after | flags))
+    assert len(wanted) > 500 and got == wanted
+
+
+def test_quick_filter_keeps_every_place_that_can_hold_a_chain():
+    rng = np.random.default_rng(6)
+    texts = [(rng.integers(0, 40, 200).astype(np.uint16), rng.integers(0, 40, rng.integers(3, 300)).astype(np.uint16)) for _ in range(300)]
+    for a, b in texts[::2]:
+        n = int(rng.integers(4, 20))
+        b[: len(b[:n])] = a[60 : 60 + len(b[:n])]
+    got = passages._worth([a.tobytes() for a, _ in texts], [b.tobytes() for _, b in texts])
+    for (a, b), worth in zip(texts, got, strict=True):
+        at = np.flatnonzero(np.isin(passages._fours(a), passages._fours(b)))
+        assert worth == bool(len(at) and at[-1] - at[0] + 4 >= passages.PIECE // 2)
+    assert 0 < got.sum() < len(got)
+
+
 def test_edits_and_longest_stretch():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -505,6 +563,11 @@ def test_alignment_at_the_edge_of_the_threshold():
     assert len(left) == 48 and passages.aligned(a, left, (0, 60), (0, 48))[4] == 0.8
 
 
+def test_edit_distance_stops_where_more_edits_than_asked_for_are_sure():
+    a, b = np.arange(40), np.arange(40) + np.where(np.arange(40) % 3 == 0, 100, 0)
+    assert [passages.edit_distance(a, b, most) for most in (0, 5, 13, 14, 40)] == [1, 6, 14, 14, 14]
+
+
 def test_edit_distance():
     a, b = np.array(list(b"kitten sitting")), np.array(list(b"sitting kitten"))
     assert passages.edit_distance(np.array(list(b"kitten")), np.array(list(b"sitting")), 5) == 3
