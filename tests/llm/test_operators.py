@@ -458,17 +458,43 @@ def test_windows_that_stand_in_two_places(spark):
     assert len(wanted) > 500 and got == wanted
 
 
-def test_quick_filter_keeps_every_place_that_can_hold_a_chain():
+def test_places_that_can_give_new_words():
+    """A place stays if windows in common span twelve words and a word in no piece lies between the first and the last three that agree."""
     rng = np.random.default_rng(6)
-    texts = [(rng.integers(0, 40, 200).astype(np.uint16), rng.integers(0, 40, rng.integers(3, 300)).astype(np.uint16)) for _ in range(300)]
-    for a, b in texts[::2]:
-        n = int(rng.integers(4, 20))
-        b[: len(b[:n])] = a[60 : 60 + len(b[:n])]
-    got = passages._worth([a.tobytes() for a, _ in texts], [b.tobytes() for _, b in texts])
-    for (a, b), worth in zip(texts, got, strict=True):
-        at = np.flatnonzero(np.isin(passages._fours(a), passages._fours(b)))
-        assert worth == bool(len(at) and at[-1] - at[0] + 4 >= passages.PIECE // 2)
-    assert 0 < got.sum() < len(got)
+    wanted, rows = [], []
+    for k in range(600):
+        a, b = rng.integers(0, 64, 500), rng.integers(64, 128, 500)
+        n, new = int(rng.integers(4, 40)), int(rng.integers(215, 300))
+        at = 240 if k % 2 else 250  # beyond 128 words no window is looked for, within 192 three words are
+        b[at : at + n] = a[at : at + n]
+        bits = (a << 1).astype(np.uint8)
+        bits[new] |= 1
+        wanted.append(n >= 12 and at <= new < at + n)
+        rows.append((k, 0, 244, 250, 244, 250, bits[52:446].tobytes(), (b << 1).astype(np.uint8)[52:446].tobytes()))
+    rows = pd.DataFrame(rows, columns=["doc", "ref", "at", "to_at", "ref_at", "to_ref", "a", "b"])
+    got = set(pd.concat(passages._hopeful_rows(iter([rows])))["doc"])
+    wanted = set(np.flatnonzero(wanted).tolist())
+    assert wanted <= got and len(wanted) > 50 and len(got - wanted) < 20  # by chance three words agree elsewhere
+
+
+def test_each_piece_has_seventeen_of_twenty_five_words():
+    seen = np.zeros(1 << 16, bool)
+    for n in range(passages.PIECE, 120):
+        a = np.arange(n).astype(np.uint16)
+        wrong = n // 5
+        for start in range(n - wrong + 1):
+            b = a.copy()
+            b[start : start + wrong] += 1000
+            assert passages._dense(a, b, seen) and not seen.any()
+    assert not passages._dense(np.arange(40), np.append(np.arange(15), np.arange(24, 40)), seen)
+    assert not passages._dense(np.arange(24), np.arange(24), seen)
+
+
+def test_short_tables_of_edits():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        a, b = rng.integers(0, 4, rng.integers(1, 30)), rng.integers(0, 4, rng.integers(1, 30))
+        assert passages._short_costs(a.tolist(), b.tolist()) == [row.tolist() for row in passages._costs(a, b)]
 
 
 def test_edits_and_longest_stretch():
